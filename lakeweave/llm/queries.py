@@ -4,10 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lakeweave.llm import line_dedup, mixing, packing, sharding, simhash_dedup, topk_search
+from lakeweave.llm import (
+    language_id,
+    line_dedup,
+    mixing,
+    packing,
+    pii,
+    quality_classifier,
+    quality_rules,
+    sharding,
+    simhash_dedup,
+    topk_search,
+)
 from lakeweave.llm.common import read_table
 
 
+def op1_language_mixture(spark, sf_dir):
+    """Language of every document by mixture inference."""
+    return language_id.identify_languages(read_table(spark, sf_dir, "documents"))
+
+
 def op2_sampled_splitters(spark, sf_dir):
     """All documents into shards 0 to 7 by near equal bytes."""
     rows = sharding.shard_by_bytes(read_table(spark, sf_dir, "documents"))
@@ -16,6 +32,19 @@ def op2_sampled_splitters(spark, sf_dir):
     )
 
 
+def op3_likelihood_ratio_rules(spark, sf_dir):
+    """Base rules and the likelihood ratio's verdict on every document."""
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    return quality_rules.judge_quality(docs, labels)
+
+
+def op4_co_occurrence_pii(spark, sf_dir):
+    """Typed and revealing spans of every document."""
+    rows = pii.with_spans(read_table(spark, sf_dir, "documents"))
+    kinds = [pii.count(F.col("base"), k).alias(f"n_{k}") for k in pii.PATTERNS]
+    return rows.select("doc_id", *kinds, F.sha2(pii.digest(F.col("base")), 256).alias("base_sha256"), pii.digest(F.col("spans")).alias("spans"))
+
+
 def op5_impact_ordered_topk(spark, sf_dir):
     """The 5 best inner products of every 50th vector against all others."""
     return topk_search.top_k(read_table(spark, sf_dir, "embeddings"), 5, F.col("vec_id") % 50 == 0)
@@ -43,7 +72,16 @@ def op9_vantage_point_simhash(spark, sf_dir):
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_sampled_splitters, op5_impact_ordered_topk, op6_source_mixing, op7_log_template_tree, op8_conflict_best_fit, op9_vantage_point_simhash)}
+def op10_positive_unlabelled(spark, sf_dir):
+    """Quality score of every document."""
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    return quality_classifier.classify(docs, labels)
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_language_mixture, op2_sampled_splitters, op3_likelihood_ratio_rules, op4_co_occurrence_pii, op5_impact_ordered_topk, op6_source_mixing,
+    op7_log_template_tree, op8_conflict_best_fit, op9_vantage_point_simhash, op10_positive_unlabelled,
+)}
 
 ORACLES: dict[str, str] = {
     "op5_impact_ordered_topk": """
