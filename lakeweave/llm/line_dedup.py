@@ -1,22 +1,25 @@
 """Line dedup by a log-template tree.
 
 A line's words descend a tree of fixed depth: first by their count, then by
-``depth`` leading words (a word with a digit is a variable field, ``<*>``). At a
-leaf a line's template is its words with variable fields masked. A position at
-which a leaf has over ``most_children`` different words is a variable field
-too: there the leaf generalises, provided the constant positions are at least
-``alike`` of all. A template met in ``least_docs`` or more documents recurs:
-its lines are dropped everywhere but in its first document, the one of
+``DEPTH`` leading words (a word with a digit is a variable field, ``<*>``). At a
+leaf a line belongs to its exact template, the words with variable fields
+masked, and, if it has ``GENERAL_WORDS`` words or more, to the ``PARTS``
+generalised templates in which one of the equal parts of its further words is
+a variable field too. A template met in ``least_docs`` or more documents
+recurs: its lines are dropped everywhere but in its first document, the one of
 smallest doc_id. Lines of fewer than ``least_words`` words are left alone.
 
-Templates are told apart by a 64-bit hash. Every count is a map-side combined
-aggregate of narrow rows, so a line held by a third of all documents is not a
-hot group; documents' texts are only read, never shuffled, unless the list of
-documents that lose lines is too long to broadcast.
+Texts are masked as wholes and hashed line by line once; what follows works on
+a narrow table of hashes. Every count is a map-side combined aggregate, so a
+line held by a third of all documents is not a hot group; texts are only read,
+never shuffled, unless the list of lost lines is too long to broadcast.
+
+Templates are told apart by a 64-bit hash.
 
 Defined results: a null text stays null; empty texts and blank lines stay as
 they are; documents are told apart by doc_id and text, so repeated rows are
-one document and share one fate; rows without doc_id come after all others;
+one document and share one fate; all documents of the smallest doc_id are
+first, rows without doc_id come after all others;
 an empty table gives an empty result; extra columns pass through.
 """
 
@@ -28,93 +31,70 @@ from pyspark.sql import functions as F
 from lakeweave.llm.common import cut, pick
 
 DEPTH = 3
-MOST_CHILDREN = 16
-ALIKE = 0.7
+PARTS = 4
+GENERAL_WORDS = 8
 LEAST_DOCS = 3
 LEAST_WORDS = 4
-#: Most narrow rows (a few hundred bytes) that are broadcast.
-BROADCAST_ROWS = 100_000
-_SPACE = r"[\x20\x09-\x0D]+"
-
-
-def words(line: Column) -> Column:
-    """The line's words, variable ones masked; an empty array for a blank line."""
-    plain = F.regexp_replace(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " "), "^ | $", "")
-    masked = F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, r"[^ ]*[0-9][^ ]*", "<*>")).otherwise(plain)
-    return F.when(masked == "", F.array().cast("array<string>")).otherwise(F.split(masked, " "))
+#: Most narrow rows (under 100 bytes) that are broadcast.
+BROADCAST_ROWS = 200_000
+#: Most lost templates (8 bytes each) in the lists that are broadcast.
+BROADCAST_LINES = 1_000_000
 
 
-def _keyed(text: Column, depth: int, least_words: int) -> Column:
-    """An array of (leaf, template, words) over the text's lines; leaf and template are null for short lines."""
+def masked_lines(text: Column) -> Column:
+    """The text's lines with single spaces, none at the ends, and words that hold a digit masked."""
+    odd = text.contains("  ") | text.rlike(r"[\x09\x0B-\x0D]")
+    plain = F.when(odd, F.regexp_replace(text, r"[\x20\x09\x0B-\x0D]+", " ")).otherwise(text)
+    masked = F.when(text.rlike("[0-9]"), F.regexp_replace(plain, r"(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*+", "<*>")).otherwise(plain)
+    return F.transform(F.split(masked, "\n", -1), lambda line: F.trim(line))
 
-    def one(w: Column) -> Column:
-        long = F.size(w) >= least_words
-        leaf = F.xxhash64(F.size(w), F.array_join(F.slice(w, 1, depth), " "))
-        return F.struct(F.when(long, leaf).alias("leaf"), F.when(long, F.xxhash64(F.size(w), F.array_join(w, " "))).alias("template"), w.alias("words"))
 
-    return F.transform(F.transform(F.split(text, "\n", -1), words), one)
+def _keys(text: Column, least_words: int) -> Column:
+    """An array over the text's lines of the arrays of their templates' hashes; short lines have none."""
+    split = F.transform(masked_lines(text), lambda line: F.when(line == "", F.array().cast("array<string>")).otherwise(F.split(line, " ")))
 
+    def keys(words: Column) -> Column:
+        n = F.size(words)
+        general = []
+        for k in range(PARTS):
+            start = F.lit(DEPTH) + F.ceil((n - DEPTH) * k / PARTS).cast("int")
+            end = F.lit(DEPTH) + F.ceil((n - DEPTH) * (k + 1) / PARTS).cast("int")
+            general.append(F.xxhash64(F.lit(k + 1), n, F.slice(words, F.lit(1), start), F.slice(words, end + 1, n - end)))
+        none, exact = F.array().cast("array<long>"), F.xxhash64(F.lit(0), n, words)
+        return F.when(n >= max(GENERAL_WORDS, least_words), F.array(exact, *general)).when(n >= least_words, F.array(exact)).otherwise(none)
 
-def _document(doc_id: Column, text: Column) -> Column:
-    return F.struct(doc_id.isNull().alias("none"), doc_id.cast("long").alias("id"), F.xxhash64(text).alias("text"))
+    return F.transform(split, keys)
 
 
-def _lines(docs: DataFrame, depth: int, least_words: int) -> DataFrame:
-    """doc, leaf, template, words of each different long line of a document."""
+def lost_keys(docs: DataFrame, least_docs=LEAST_DOCS, least_words=LEAST_WORDS) -> DataFrame:
+    """id, hash, lost: the templates whose lines each document loses, for documents that lose any."""
     d = pick(docs, "doc_id", "text")
-    lines = F.filter(_keyed(d["text"], depth, least_words), lambda x: x["template"].isNotNull())
-    return d.select(_document(d["doc_id"], d["text"]).alias("doc"), F.explode(F.array_distinct(lines)).alias("x")).select("doc", "x.*")
-
-
-def _small(df: DataFrame) -> DataFrame:
-    """The cut frame, marked for broadcast if its counted rows are few."""
-    df = cut(df)
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
-def lost_lines(docs: DataFrame, depth=DEPTH, most_children=MOST_CHILDREN, alike=ALIKE, least_docs=LEAST_DOCS, least_words=LEAST_WORDS) -> DataFrame:
-    """doc, lost: the templates of the lines that each document loses, for documents that lose any."""
-    lines = _lines(docs, depth, least_words)
-    met = [F.countDistinct("doc").alias("n"), F.min("doc").alias("first")]
-    per = cut(lines.groupBy("leaf", "template").agg(*met))
-    # Only a leaf of many templates can have variable positions.
-    wide = per.groupBy("leaf").agg(F.count(F.lit(1)).alias("templates"), F.sum("n").alias("n"))
-    wide = _small(wide.filter((F.col("templates") > most_children) & (F.col("n") >= least_docs)).select(F.col("leaf").alias("w_leaf")))
-    inside = lines.join(wide, lines["leaf"] == wide["w_leaf"], "left_semi")
-    fields = inside.select("leaf", F.size("words").alias("count"), F.posexplode("words").alias("at", "word"))
-    fields = fields.groupBy("leaf", "count", "at").agg(F.countDistinct("word").alias("n")).filter(F.col("n") > most_children)
-    variable = fields.groupBy("leaf", "count").agg(F.collect_set("at").alias("variable"))
-    variable = variable.filter(F.size("variable") <= F.lit(1 - alike) * F.col("count")).select(F.col("leaf").alias("v_leaf"), "variable")
-    variable = _small(variable)
-    general = inside.join(variable, inside["leaf"] == variable["v_leaf"])
-    masked = F.transform("words", lambda w, i: F.when(F.array_contains(F.col("variable"), i), "<*>").otherwise(w))
-    general = general.select("doc", "template", F.xxhash64("leaf", F.array_join(masked, " ")).alias("general"))
-
-    exact = per.filter(F.col("n") >= least_docs).select(F.col("template").alias("r_template"), "first")
-    wider = general.groupBy("general").agg(*met).filter(F.col("n") >= least_docs).select(F.col("general").alias("r_template"), "first")
-    lost = []
-    for frame, key, recurring in ((lines, "template", exact), (general, "general", wider)):
-        recurring = _small(recurring)
-        joined = frame.select("doc", "template", F.col(key).alias("key")).join(recurring, F.col("key") == recurring["r_template"])
-        lost.append(joined.filter(F.col("doc") != F.col("first")).select("doc", "template"))
-    return lost[0].union(lost[1]).groupBy("doc").agg(F.collect_set("template").alias("lost"))
-
-
-def drop_recurring_lines(docs: DataFrame, depth=DEPTH, most_children=MOST_CHILDREN, alike=ALIKE, least_docs=LEAST_DOCS, least_words=LEAST_WORDS) -> DataFrame:
+    keyed = d.select(d["doc_id"].cast("long").alias("id"), F.xxhash64("text").alias("hash"), F.array_distinct(F.flatten(_keys(d["text"], least_words))).alias("keys"))
+    # Each document once; its different keys once, so that counting rows counts documents.
+    keyed = cut(keyed.filter(F.size("keys") > 0).groupBy("id", "hash").agg(F.first("keys").alias("keys")))
+    keyed = keyed.select(F.coalesce("id", F.lit(2**63 - 1)).alias("place"), "id", "hash", F.explode("keys").alias("key"))
+    met = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"))
+    met = cut(met.filter(F.col("n") >= least_docs).select(F.col("key").alias("r_key"), "first"))
+    met = F.broadcast(met) if met.count() <= BROADCAST_ROWS else met
+    joined = keyed.join(met, keyed["key"] == met["r_key"]).filter(F.col("place") != F.col("first"))
+    return joined.groupBy("id", "hash").agg(F.collect_set("key").alias("lost"))
+
+
+def drop_recurring_lines(docs: DataFrame, least_docs=LEAST_DOCS, least_words=LEAST_WORDS) -> DataFrame:
     """``docs`` with their recurring lines dropped from text, and the added columns n_lines and n_dropped."""
-    lost = cut(lost_lines(docs, depth, most_children, alike, least_docs, least_words).select("doc.id", F.col("doc.text").alias("hash"), "lost"))
-    small = lost.count() <= BROADCAST_ROWS
+    lost = cut(lost_keys(docs, least_docs, least_words))
+    small = lost.agg(F.coalesce(F.sum(F.size("lost")), F.lit(0))).first()[0] <= BROADCAST_LINES
     names = docs.columns
     flat = docs.toDF(*[f"c{i}" for i in range(len(names))])
     doc_id, text = (flat[f"c{names.index(n)}"] for n in ("doc_id", "text"))
     flat = flat.withColumns({"k_id": doc_id.cast("long"), "k_hash": F.xxhash64(text)})
     joined = flat.join(F.broadcast(lost) if small else lost.hint("shuffle_hash"), flat["k_id"].eqNullSafe(lost["id"]) & (flat["k_hash"] == lost["hash"]), "left")
-    lines = F.split(text, "\n", -1)
-    template = _keyed(text, depth, least_words)
-    stays = F.filter(F.arrays_zip(lines.alias("line"), template.alias("key")), lambda x: ~F.coalesce(F.array_contains(F.col("lost"), x["key"]["template"]), F.lit(False)))
-    n_lines = F.coalesce(F.size(lines), F.lit(0))
-    rest = F.when(F.col("lost").isNull(), F.array(F.struct(text.alias("line")))).otherwise(F.transform(stays, lambda x: F.struct(x["line"].alias("line"))))
-    out = joined.withColumn("rest", rest).withColumn("n_lines", F.when(text.isNull(), 0).otherwise(n_lines).cast("long"))
-    dropped = F.when(F.col("lost").isNull(), F.lit(0)).otherwise(F.col("n_lines") - F.size("rest")).cast("long")
-    cleaned = F.when(F.col("lost").isNull(), text).otherwise(F.array_join(F.col("rest.line"), "\n"))
+    # Only the texts that lose lines are taken apart.
+    pairs = F.arrays_zip(F.split(text, "\n", -1).alias("line"), _keys(text, least_words).alias("keys"))
+    stays = F.filter(pairs, lambda x: ~F.arrays_overlap(F.col("lost"), x["keys"]))
+    rest = F.when(F.col("lost").isNotNull(), F.transform(stays, lambda x: x["line"]))
+    n_lines = F.when(text.isNull(), 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
+    out = joined.withColumn("rest", rest).withColumn("n_lines", n_lines)
+    dropped = F.when(F.col("rest").isNull(), F.lit(0)).otherwise(F.col("n_lines") - F.size("rest")).cast("long")
+    cleaned = F.when(F.col("rest").isNull(), text).otherwise(F.array_join("rest", "\n"))
     return out.select(*[(cleaned if n == "text" else F.col(f"c{i}")).alias(n) for i, n in enumerate(names)], "n_lines", dropped.alias("n_dropped"))

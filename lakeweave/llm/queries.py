@@ -127,26 +127,15 @@ ORACLES: dict[str, str] = {
         ), w AS (
             SELECT doc_id, i, line, string_split(regexp_replace(plain, '[^ ]*[0-9][^ ]*', '<*>', 'g'), ' ') AS words FROM e WHERE plain <> ''
         ), k AS (
-            SELECT *, (len(words), array_to_string(words[1:3], ' ')) AS leaf, array_to_string(words, ' ') AS template FROM w WHERE len(words) >= 4
+            SELECT doc_id, i, 0 AS part, words[1:0] AS head, words AS tail FROM w WHERE len(words) >= 4
+            UNION ALL
+            SELECT doc_id, i, k + 1, words[1:3 + ceil((len(words) - 3) * k / 4.0)::BIGINT],
+                words[4 + ceil((len(words) - 3) * (k + 1) / 4.0)::BIGINT:] || ['', len(words)::VARCHAR]
+            FROM w, range(4) AS r(k) WHERE len(words) >= 8
         ), p AS (
-            SELECT leaf, template, count(DISTINCT doc_id) AS n, min(doc_id) AS first FROM k GROUP BY ALL
-        ), wide AS (
-            SELECT leaf FROM p GROUP BY leaf HAVING count(*) > 16 AND sum(n) >= 3
-        ), f AS (
-            SELECT leaf, len(words) AS n, unnest(range(1, len(words) + 1)) AS pos, unnest(words) AS word FROM k WHERE leaf IN (FROM wide)
-        ), g AS (
-            SELECT leaf, n, pos FROM f GROUP BY ALL HAVING count(DISTINCT word) > 16
-        ), v AS (
-            SELECT leaf, list(pos) AS variable FROM g GROUP BY leaf, n HAVING count(*) <= (1 - 0.7) * n
-        ), x AS (
-            SELECT doc_id, i, k.leaf AS leaf, array_to_string(list_transform(range(1, len(words) + 1), lambda j: CASE WHEN list_contains(variable, j) THEN '<*>' ELSE words[j] END), ' ') AS general
-            FROM k JOIN v ON k.leaf = v.leaf
-        ), xp AS (
-            SELECT leaf, general, min(doc_id) AS first FROM x GROUP BY ALL HAVING count(DISTINCT doc_id) >= 3
+            SELECT part, head, tail, min(doc_id) AS first FROM k GROUP BY ALL HAVING count(DISTINCT doc_id) >= 3
         ), lost AS (
-            SELECT doc_id, i FROM k JOIN p ON k.template = p.template AND k.leaf = p.leaf WHERE p.n >= 3 AND k.doc_id <> p.first
-            UNION
-            SELECT x.doc_id, i FROM x JOIN xp ON x.leaf = xp.leaf AND x.general = xp.general WHERE x.doc_id <> xp.first
+            SELECT DISTINCT doc_id, i FROM k JOIN p ON k.part = p.part AND k.head = p.head AND k.tail = p.tail WHERE k.doc_id <> p.first
         ), c AS (
             SELECT e.doc_id, count(lost.i) AS n_dropped, string_agg(CASE WHEN lost.i IS NULL THEN line END, chr(10) ORDER BY e.i) AS text
             FROM e LEFT JOIN lost ON e.doc_id = lost.doc_id AND e.i = lost.i GROUP BY e.doc_id
