@@ -23,7 +23,7 @@ from lakeweave.functions.types import SPARK, affinity, tag
 from lakeweave.plans import ast
 from lakeweave.plans.emit import Emitter, Relation, Scope, name
 from lakeweave.plans.explain import explain
-from lakeweave.plans.lexer import SqlError
+from lakeweave.plans.lexer import SqlError, tokens
 from lakeweave.plans.parser import parse, parse_expr
 from lakeweave.sources.store import Store
 
@@ -51,6 +51,19 @@ def substitute(x, change):
     return x
 
 
+def _renamed(text: str, old: str, new: str) -> str:
+    """A trigger's text with NEW.old, OLD.old and the columns of UPDATE OF renamed."""
+    found, at, listed = [], 0, False
+    ts = tokens(text)
+    for i, t in enumerate(ts):
+        listed = t.upper == "OF" or listed and t.upper != "ON"
+        row = i > 1 and ts[i - 1].value == "." and ts[i - 2].upper in ("NEW", "OLD")
+        if t.kind in ("word", "quoted") and t.value.lower() == old and (row or listed):
+            found += [text[at : t.start], '"' + new.replace('"', '""') + '"']
+            at = t.end
+    return "".join([*found, text[at:]])
+
+
 class Database:
     """One database in a folder. ``execute`` takes any statement of the dialect."""
 
@@ -65,6 +78,7 @@ class Database:
         self.views: dict[str, str] = {}
         self.plans: OrderedDict = OrderedDict()
         self.hits = 0
+        self.affected: list[Relation] = []  # rows of the firing triggers, innermost last
 
     # Statements
 
@@ -187,6 +201,8 @@ class Database:
 
     def _resolve(self, table: str) -> Relation | None:
         low = table.lower()
+        if low == "__rows" and self.affected:
+            return self.affected[-1]
         if low in self.state["tables"]:
             t = self.state["tables"][low]
             columns = [(c["name"], "int" if c["kind"] in ("tiny", "small") else c["kind"]) for c in t["columns"]]
@@ -373,6 +389,10 @@ class Database:
             c["name"] = new
             swap = lambda key: [new if k.lower() == old else k for k in key]
             t["primary"], t["unique"] = swap(t["primary"]), [swap(u) for u in t["unique"]]
+            for o in self.state["triggers"].values():
+                if o["table"] == low:
+                    o["text"] = _renamed(o["text"], old, new)
+                    o["of"] = [new.lower() if c == old else c for c in o["of"]]
         elif s.action == "add":
             c = s.args[0]
             if any(o["name"].lower() == c.name.lower() for o in t["columns"]):
@@ -670,7 +690,6 @@ class Database:
             return None
 
         affected = [(p + c, k) for _, p in seen for c, k in kinds]
-        resolve = lambda n: Relation(name(view), affected) if n == "__rows" else self._resolve(n)
         core = body.body if isinstance(body, ast.Query) else body.source.body if isinstance(body, ast.Insert) and body.source is not None else None
         plain = isinstance(core, (ast.Core, ast.Values)) and getattr(core, "source", None) is None and not (isinstance(core, ast.Values) and len(core.rows) > 1)
         if plain and isinstance(body, ast.Query):
@@ -679,7 +698,7 @@ class Database:
                 return rows  # a SELECT without effect
             scope = Scope()
             scope.sources.append(("__rows", affected, ()))
-            e = Emitter(resolve)
+            e = self._emitter()
             conditions = [e.truth(substitute(c, relate), scope) for c in (trigger.when, core.where) if c is not None]
             hit = f"coalesce({' AND '.join(conditions) or 'TRUE'}, FALSE)".replace("`__rows`.", "")
             if raises[0].kind == "IGNORE":
@@ -693,12 +712,11 @@ class Database:
             where = [c for c in (trigger.when, getattr(core, "where", None)) if c is not None]
             condition = where[0] if len(where) == 1 else ast.Binary("AND", *where) if where else None
             inner.source = ast.Query(ast.Core(items=substitute(items, relate), source=ast.Table("__rows", None), where=substitute(condition, relate)), order=[ast.Order(ast.Col("__at", "__rows"), False, None)])
-            outer, affected_at = self._resolve, [*affected, ("__at", "int")]
-            self._resolve = lambda n: Relation(name(view), affected_at) if n == "__rows" else outer(n)
+            self.affected.append(Relation(name(view), [*affected, ("__at", "int")]))
             try:
                 self._dml(inner, {}, depth + 1)
             finally:
-                del self._resolve
+                self.affected.pop()
             return rows
         return self._row_by_row(trigger, body, seen, t, rows, depth)
 
