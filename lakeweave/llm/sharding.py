@@ -50,18 +50,21 @@ def _range_of(key: Column, boundaries: list[int]) -> Column:
     )
 
 
-def _assign(units: list[dict], shards: int, total: int) -> None:
-    """Give each unit its list of shards (more than one only where a heavy key exceeds a shard's share)."""
-    share = total / shards
-    load = [0.0] * shards
-    for u in sorted((u for u in units if u["heavy"]), key=lambda u: (-u["bytes"], u["range"], u["key"])):
-        parts = max(1, min(shards, -(-int(u["bytes"] * 1000) // max(1, int(share * 1000)))))
-        u["parts"] = sorted(range(shards), key=lambda s: (load[s], s))[:parts]
-        for s in u["parts"]:
-            load[s] += u["bytes"] / parts
-    light = sum(u["bytes"] for u in units if not u["heavy"])
+def _assign(items: list[dict], shards: int) -> None:
+    """Give each item its shard: slices of spread keys fill shard after shard, heavy keys go to the
+    lightest shard, and the other ranges in range order into what capacity is left."""
+    load, share, s = [0.0] * shards, sum(x["bytes"] for x in items) / shards, 0
+    for x in sorted((x for x in items if x["spread"]), key=lambda x: (x["range"], x["key"], x["slices"])):
+        if load[s] + x["bytes"] / 2 > share:
+            s = min(range(shards), key=lambda s: (load[s], s))
+        x["shard"] = s
+        load[s] += x["bytes"]
+    for x in sorted((x for x in items if x["heavy"] and not x["spread"]), key=lambda x: (-x["bytes"], x["range"], x["key"])):
+        x["shard"] = min(range(shards), key=lambda s: (load[s], s))
+        load[x["shard"]] += x["bytes"]
+    light = sum(x["bytes"] for x in items if not x["heavy"])
     # The level to which light ranges fill the shards; a shard above it takes none.
-    order, level, below = sorted(load), share, 0.0
+    order, level, below = sorted(load), 0.0, 0.0
     for i, x in enumerate(order, 1):
         below += x
         level = (light + below) / i
@@ -72,11 +75,11 @@ def _assign(units: list[dict], shards: int, total: int) -> None:
         filled += max(0.0, level - x)
         ends.append(filled)
     at, done = 0, 0.0
-    for u in sorted((u for u in units if not u["heavy"]), key=lambda u: u["range"]):
-        while at < shards - 1 and done + u["bytes"] / 2 > ends[at]:
+    for x in sorted((x for x in items if not x["heavy"]), key=lambda x: x["range"]):
+        while at < shards - 1 and done + x["bytes"] / 2 > ends[at]:
             at += 1
-        u["parts"] = [at]
-        done += u["bytes"]
+        x["shard"] = at
+        done += x["bytes"]
 
 
 def shard_by_bytes(docs: DataFrame, shards: int = SHARDS, ranges_per_shard: int = RANGES_PER_SHARD, seed: int = SEED) -> DataFrame:
@@ -115,11 +118,10 @@ def shard_by_bytes(docs: DataFrame, shards: int = SHARDS, ranges_per_shard: int
         units[h["range"]]["bytes"] -= h["bytes"]
     units = list(units.values()) + [{"range": h["range"], "key": h["key"], "heavy": True, "rows": h["rows"], "bytes": h["bytes"]} for h in heavy]
     units = [u for u in units if u["rows"]]
-    _assign(units, shards, total)
     for i, u in enumerate(units):
-        # Slices bound what one task numbers; each slice lies in one shard.
+        # Slices bound what one task numbers; a key beyond a shard's share is spread by whole slices.
         u["unit"] = i
-        u["slices"] = len(u["parts"]) * max(1, -(-u["rows"] * wanted // (count * len(u["parts"]))))
+        u["slices"] = max(1, -(-u["rows"] * wanted // count), -(-u["bytes"] * wanted // total) if u["bytes"] * shards > total else 1)
     plan = _small(spark, [{"p_range": u["range"], "p_key": u["key"], "unit": u["unit"], "slices": u["slices"]} for u in units], "p_range int, p_key long, unit int, slices int")
     light_plan = plan.filter("p_key IS NULL").select("p_range", F.col("unit").alias("l_unit"), F.col("slices").alias("l_slices"))
     heavy_plan = plan.filter("p_key IS NOT NULL").select("p_key", F.col("unit").alias("h_unit"), F.col("slices").alias("h_slices"))
@@ -127,13 +129,22 @@ def shard_by_bytes(docs: DataFrame, shards: int = SHARDS, ranges_per_shard: int
     rows = rows.join(F.broadcast(heavy_plan), rows["key"] == heavy_plan["p_key"], "left")
     rows = rows.withColumn("unit", F.coalesce("h_unit", "l_unit")).withColumn("slice", F.pmod("mark", F.coalesce("h_slices", "l_slices")).cast("int"))
     rows = rows.select("doc_id", "size", "text_crc32", "key", "unit", "slice")
-    counts = {(r["unit"], r["slice"]): r["count"] for r in rows.groupBy("unit", "slice").count().collect()}  # some `wanted` slices
-    by_unit = {u["unit"]: u for u in units}
+    slices = rows.groupBy("unit", "slice").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("bytes")).collect()  # some `wanted` slices
+    items = {}
+    for r in slices:
+        u = units[r["unit"]]
+        spread = u["bytes"] * shards > total
+        item = items.setdefault((r["unit"], r["slice"] if spread else -1), {"range": u["range"], "key": u["key"] or 0, "heavy": u["heavy"] or spread, "spread": spread, "bytes": 0, "slices": []})
+        item["bytes"] += r["bytes"]
+        item["slices"].append((r["slice"], r["unit"], r["rows"]))
+    for item in items.values():
+        item["slices"].sort()
+    _assign(list(items.values()), shards)
     before, offsets = [0] * shards, []
-    for unit, part in sorted(counts, key=lambda x: (by_unit[x[0]]["range"], x)):
-        shard = by_unit[unit]["parts"][part % len(by_unit[unit]["parts"])]
-        offsets.append({"o_unit": unit, "o_slice": part, "shard": shard, "before": before[shard]})
-        before[shard] += counts[unit, part]
+    for item in sorted(items.values(), key=lambda x: (x["range"], x["slices"])):
+        for part, unit, n in item["slices"]:
+            offsets.append({"o_unit": unit, "o_slice": part, "shard": item["shard"], "before": before[item["shard"]]})
+            before[item["shard"]] += n
     offsets = _small(spark, offsets, "o_unit int, o_slice int, shard int, before long")
     numbered = rows.withColumn("n", F.row_number().over(Window.partitionBy("unit", "slice").orderBy("key", "doc_id", "size", "text_crc32")))
     numbered = numbered.join(F.broadcast(offsets), (F.col("unit") == F.col("o_unit")) & (F.col("slice") == F.col("o_slice")))
