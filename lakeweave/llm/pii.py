@@ -122,8 +122,9 @@ def revealing_terms(docs: DataFrame, disclosure: float = DISCLOSURE, together: i
     left = F.when(start > near, F.regexp_replace(left, r"^\S*", "")).otherwise(left)
     right = F.regexp_replace(F.substr("text", end + 1, F.lit(near)), r"\S*$", "")
     entity = F.xxhash64("s.kind", "s.value")
-    around = some.select("hash", entity.alias("entity"), F.array_sort(terms(F.concat_ws(" ", left, F.lit("|"), right))).alias("terms"))
-    around = cut(around.groupBy("entity", "terms").agg(F.min("hash").alias("hash")))  # equal surroundings count once
+    around = some.select("hash", entity.alias("entity"), F.concat_ws("|", left, right).alias("near"))
+    around = around.groupBy("entity", "near").agg(F.min("hash").alias("hash"))  # equal surroundings count once
+    around = cut(around.select("hash", "entity", terms(F.col("near")).alias("terms")))
     per_entity = around.groupBy("entity").agg(F.countDistinct("hash").alias("n_c")).select(F.col("entity").alias("e"), "n_c")
     pairs = around.select("hash", "entity", F.explode("terms").alias("term")).distinct()
     met = pairs.groupBy("entity", "term").agg(F.countDistinct("hash").alias("n_tc")).filter(F.col("n_tc") >= together)
