@@ -74,6 +74,14 @@ def alike(*xs: Typed) -> tuple[list[str], str]:
     return [number(x) if kind in ("int", "real") else x[0] for x in xs], kind
 
 
+def unify(*xs: Typed) -> tuple[list[str], str]:
+    """The values of one result: as ``alike``, and text where text and other classes mix."""
+    values, kind = alike(*xs)
+    if kind == "any" and any(k == "text" for _, k in xs) and all(k != "any" for _, k in xs):
+        return [x[0] if x[1] == "null" else text(x) for x in xs], "text"
+    return values, kind
+
+
 def glob_regex(pattern: str) -> str:
     """An anchored regular expression for a GLOB pattern of * and ?."""
     return "(?s)^" + "".join({"*": ".*", "?": "."}.get(c) or re.escape(c) for c in pattern) + "$"
@@ -108,7 +116,7 @@ def _abs(x):
 
 
 def _coalesce(*xs):
-    values, kind = alike(*xs)
+    values, kind = unify(*xs)
     return f"coalesce({', '.join(values)})", kind
 
 
@@ -118,7 +126,7 @@ def _nullif(a, b):
 
 
 def _iif(c, a, b=("NULL", "null")):
-    (x, y), kind = alike(a, b)
+    (x, y), kind = unify(a, b)
     return f"if({truth(c)}, {x}, {y})", kind
 
 
@@ -213,7 +221,7 @@ def _printf(form, *xs):
 
 def _extreme(name):
     def build(*xs):
-        values, kind = alike(*xs)
+        values, kind = unify(*xs)
         return f"{name}({', '.join(values)})", kind
 
     return build

@@ -19,6 +19,7 @@ def spark(tmp_path_factory):
             "spark.checkpoint.dir": str(base / "checkpoints"),
             "spark.sql.warehouse.dir": str(base / "warehouse"),
             "spark.driver.memory": "4g",
+            "spark.sql.maxMetadataStringLength": "2000",
         },
     )
     yield session
