@@ -11,8 +11,8 @@ smallest doc_id. Lines of fewer than ``least_words`` words are left alone.
 
 Texts are masked as wholes and hashed line by line once; what follows works on
 a narrow table of hashes. Every count is a map-side combined aggregate, so a
-line held by a third of all documents is not a hot group; texts are only read,
-never shuffled, unless the list of lost lines is too long to broadcast.
+line held by a third of all documents is not a hot group; texts are shuffled
+once, by document, to meet the list of lines they lose.
 
 Templates are told apart by a 64-bit hash.
 
@@ -37,13 +37,13 @@ LEAST_DOCS = 3
 LEAST_WORDS = 4
 #: Most narrow rows (under 100 bytes) that are broadcast.
 BROADCAST_ROWS = 200_000
-#: Most lost templates (8 bytes each) in the lists that are broadcast.
-BROADCAST_LINES = 1_000_000
 
 
 def masked_lines(text: Column) -> Column:
     """The text's lines with single spaces, none at the ends, and words that hold a digit masked."""
-    odd = text.contains("  ") | text.rlike(r"[\x09\x0B-\x0D]")
+    odd = text.contains("  ")
+    for space in "\t\v\f\r":
+        odd = odd | text.contains(space)
     plain = F.when(odd, F.regexp_replace(text, r"[\x20\x09\x0B-\x0D]+", " ")).otherwise(text)
     masked = F.when(text.rlike("[0-9]"), F.regexp_replace(plain, r"(?<![^ \n])[^ \n0-9]*+[0-9][^ \n]*+", "<*>")).otherwise(plain)
     return F.transform(F.split(masked, "\n", -1), lambda line: F.trim(line))
@@ -51,30 +51,40 @@ def masked_lines(text: Column) -> Column:
 
 def _keys(text: Column, least_words: int) -> Column:
     """An array over the text's lines of the arrays of their templates' hashes; short lines have none."""
-    split = F.transform(masked_lines(text), lambda line: F.when(line == "", F.array().cast("array<string>")).otherwise(F.split(line, " ")))
 
-    def keys(words: Column) -> Column:
-        n = F.size(words)
-        general = []
-        for k in range(PARTS):
-            start = F.lit(DEPTH) + F.ceil((n - DEPTH) * k / PARTS).cast("int")
-            end = F.lit(DEPTH) + F.ceil((n - DEPTH) * (k + 1) / PARTS).cast("int")
-            general.append(F.xxhash64(F.lit(k + 1), n, F.slice(words, F.lit(1), start), F.slice(words, end + 1, n - end)))
-        none, exact = F.array().cast("array<long>"), F.xxhash64(F.lit(0), n, words)
-        return F.when(n >= max(GENERAL_WORDS, least_words), F.array(exact, *general)).when(n >= least_words, F.array(exact)).otherwise(none)
+    def hashed(line: Column) -> Column:
+        n = F.when(line == "", 0).otherwise(F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1)
+        exact = F.when(n >= least_words, F.xxhash64(F.lit(0), line))
 
-    return F.transform(split, keys)
+        def part(words: Column, k: int) -> Column:
+            start = F.lit(DEPTH) + F.ceil((F.size(words) - DEPTH) * k / PARTS).cast("int")
+            end = F.lit(DEPTH) + F.ceil((F.size(words) - DEPTH) * (k + 1) / PARTS).cast("int")
+            return F.xxhash64(F.slice(words, start + 1, end - start))
+
+        # The words are split once and each part hashed once.
+        apart = F.when(n >= max(GENERAL_WORDS, least_words), F.array(F.split(line, " "))).otherwise(F.array().cast("array<array<string>>"))
+        parts = F.transform(apart, lambda w: F.array(F.xxhash64(F.size(w), F.slice(w, 1, DEPTH)), *[part(w, k) for k in range(PARTS)]))
+        return F.struct(exact.alias("exact"), parts.alias("parts"))
+
+    def keys(x: Column) -> Column:
+        general = F.transform(x["parts"], lambda p: F.array(*[F.xxhash64(F.lit(k + 1), *[p[i] for i in range(PARTS + 1) if i != k + 1]) for k in range(PARTS)]))
+        return F.concat(F.array_compact(F.array(x["exact"])), F.flatten(general))
+
+    return F.transform(F.transform(masked_lines(text), hashed), keys)
 
 
 def lost_keys(docs: DataFrame, least_docs=LEAST_DOCS, least_words=LEAST_WORDS) -> DataFrame:
     """id, hash, lost: the templates whose lines each document loses, for documents that lose any."""
     d = pick(docs, "doc_id", "text")
     keyed = d.select(d["doc_id"].cast("long").alias("id"), F.xxhash64("text").alias("hash"), F.array_distinct(F.flatten(_keys(d["text"], least_words))).alias("keys"))
-    # Each document once; its different keys once, so that counting rows counts documents.
-    keyed = cut(keyed.filter(F.size("keys") > 0).groupBy("id", "hash").agg(F.first("keys").alias("keys")))
-    keyed = keyed.select(F.coalesce("id", F.lit(2**63 - 1)).alias("place"), "id", "hash", F.explode("keys").alias("key"))
-    met = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"))
-    met = cut(met.filter(F.col("n") >= least_docs).select(F.col("key").alias("r_key"), "first"))
+    keyed = cut(keyed.filter(F.size("keys") > 0))
+    # A document's different keys count once, and the rows of one document share one vote.
+    again = cut(keyed.groupBy("id", "hash").count().filter("count > 1").select(F.col("id").alias("a_id"), F.col("hash").alias("a_hash"), "count"))
+    again = F.broadcast(again) if again.count() <= BROADCAST_ROWS else again
+    keyed = keyed.join(again, keyed["id"].eqNullSafe(again["a_id"]) & (keyed["hash"] == again["a_hash"]), "left")
+    keyed = keyed.select(F.coalesce("id", F.lit(2**63 - 1)).alias("place"), "id", "hash", F.coalesce(1 / F.col("count"), F.lit(1.0)).alias("vote"), F.explode("keys").alias("key"))
+    met = keyed.groupBy("key").agg(F.sum("vote").alias("n"), F.min("place").alias("first"))
+    met = cut(met.filter(F.col("n") > least_docs - 0.5).select(F.col("key").alias("r_key"), "first"))
     met = F.broadcast(met) if met.count() <= BROADCAST_ROWS else met
     joined = keyed.join(met, keyed["key"] == met["r_key"]).filter(F.col("place") != F.col("first"))
     return joined.groupBy("id", "hash").agg(F.collect_set("key").alias("lost"))
@@ -82,13 +92,12 @@ def lost_keys(docs: DataFrame, least_docs=LEAST_DOCS, least_words=LEAST_WORDS) -
 
 def drop_recurring_lines(docs: DataFrame, least_docs=LEAST_DOCS, least_words=LEAST_WORDS) -> DataFrame:
     """``docs`` with their recurring lines dropped from text, and the added columns n_lines and n_dropped."""
-    lost = cut(lost_keys(docs, least_docs, least_words))
-    small = lost.agg(F.coalesce(F.sum(F.size("lost")), F.lit(0))).first()[0] <= BROADCAST_LINES
+    lost = lost_keys(docs, least_docs, least_words)
     names = docs.columns
     flat = docs.toDF(*[f"c{i}" for i in range(len(names))])
     doc_id, text = (flat[f"c{names.index(n)}"] for n in ("doc_id", "text"))
     flat = flat.withColumns({"k_id": doc_id.cast("long"), "k_hash": F.xxhash64(text)})
-    joined = flat.join(F.broadcast(lost) if small else lost.hint("shuffle_hash"), flat["k_id"].eqNullSafe(lost["id"]) & (flat["k_hash"] == lost["hash"]), "left")
+    joined = flat.join(lost.hint("shuffle_hash"), flat["k_id"].eqNullSafe(lost["id"]) & (flat["k_hash"] == lost["hash"]), "left")
     # Only the texts that lose lines are taken apart.
     pairs = F.arrays_zip(F.split(text, "\n", -1).alias("line"), _keys(text, least_words).alias("keys"))
     stays = F.filter(pairs, lambda x: ~F.arrays_overlap(F.col("lost"), x["keys"]))
