@@ -272,6 +272,31 @@ class Database:
         segment = {"path": path, "columns": [c["seq"] for c in t["columns"]]}
         t["segments"] = [*t["segments"], segment] if append else [segment]
 
+    def _replace(self, t: dict, gone: DataFrame, new: DataFrame | None) -> None:
+        """Take the rows of the ``gone`` keys out and put ``new`` rows in; only segments that hold such a key are rewritten."""
+        key, names = t["primary"], [c["name"] for c in t["columns"]]
+        seqs = {c["name"]: c["seq"] for c in t["columns"]}
+        types = {c["name"]: SPARK[c["kind"]] for c in t["columns"]}
+        folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+        hit: set[str] = set()
+        if t["segments"]:
+            schema = ", ".join(f"c{seqs[k]} {types[k]}" for k in key)
+            found = self.spark.read.schema(schema).parquet(*[s["path"] for s in t["segments"]])
+            found = found.select(*[F.col(f"c{seqs[k]}").alias(k) for k in key], folder.alias("__segment"))
+            hit = {r[0] for r in found.join(gone, key, "left_semi").select("__segment").distinct().collect()}  # at most one a segment
+        touched = [s for s in t["segments"] if s["path"].rsplit("/", 1)[-1] in hit]
+        rest = self._rows({**t, "segments": touched}).join(gone, key, "left_anti").select(*names)
+        t["segments"] = [s for s in t["segments"] if s not in touched]
+        self._write(t, rest if new is None else rest.union(new.select(*names)), True)
+
+    def compact(self, table: str, files: int = 1) -> None:
+        """Rewrite a table as one segment, laid out by primary key so that seeks and ranges prune row groups."""
+        t = self._table(table)
+        rows = self._rows(t)
+        self._write(t, rows.repartitionByRange(files, *t["primary"]).sortWithinPartitions(*t["primary"]) if t["primary"] else rows.coalesce(files), False)
+        if not self.saved:
+            self._commit()
+
     def _stage(self, df: DataFrame) -> DataFrame:
         """The rows written down once: what a statement decides on stays fixed while it changes tables."""
         path = self.store.segment(0)
@@ -528,9 +553,8 @@ class Database:
         changed = 0
         if s.action == "REPLACE" and key:
             rows = self._stage(self._one(rows, key, last=True))
-            old = self._rows(t)
-            if old.join(rows.select(*key), key, "left_semi").limit(1).count():
-                self._write(t, old.join(rows.select(*key), key, "left_anti").select(*names), False)
+            if self._rows(t).join(rows.select(*key), key, "left_semi").limit(1).count():
+                self._replace(t, rows.select(*key), None)
         elif ignore and key:
             rows = self._stage(self._one(rows, key, last=False).join(self._rows(t).select(*key), key, "left_anti"))
         elif s.upsert and key:
@@ -572,18 +596,22 @@ class Database:
             sets = [x for group in s.upsert.sets for x in group]
             put = {self._find(t, c)["name"]: e.expr(x, scope)[0] for c, x in sets}
             on = " AND ".join(f"{name(t['name'])}.{name(k)} = excluded.{name(k)}" for k in key)
-            take = f"excluded.{name(key[0])} IS NOT NULL" + (f" AND {e.truth(s.upsert.where, scope)}" if s.upsert.where is not None else "")
-            select = ", ".join(f"CASE WHEN {take} THEN CAST({put[c['name']]} AS {SPARK[c['kind']]}) ELSE {name(t['name'])}.{name(c['name'])} END AS {name(c['name'])}" if c["name"] in put else f"{name(t['name'])}.{name(c['name'])}" for c in t["columns"])
-            done = self._stage(self.spark.sql(f"SELECT {select}, coalesce({take}, FALSE) AS __hit FROM {name(new)} AS {name(t['name'])} LEFT JOIN {name(view)} AS excluded ON {on}"))
-            hits = done.filter("__hit").count()
-            self._validate(t, done.filter("__hit"))
+            at = name(t["name"])
+            items = [f"{at}.{name(k)} AS {name('__old_' + k)}" for k in key]
+            items += [f"CAST({put[c['name']]} AS {SPARK[c['kind']]}) AS {name(c['name'])}" if c["name"] in put else f"{at}.{name(c['name'])}" for c in t["columns"]]
+            where = f" WHERE {e.truth(s.upsert.where, scope)}" if s.upsert.where is not None else ""
+            done = self._stage(self._generated(t, self.spark.sql(f"SELECT {', '.join(items)} FROM {name(new)} AS {at} JOIN {name(view)} AS excluded ON {on}{where}")))
+            hits = done.count()
+            self._validate(t, done)
             if hits:
-                self._write(t, self._generated(t, done).select(*names), False)
+                self._replace(t, done.select(*[F.col(name("__old_" + k)).alias(k) for k in key]), done)
+                if set(put) & {k for u in [key, *self._uniques(t)] for k in u}:
+                    for u in [key, *self._uniques(t)]:
+                        if self._repeats(self._rows(t), u):
+                            raise ConstraintError(f"UNIQUE constraint failed: {t['name']}.{u[0]}")
             n = fresh.count()
             if n:
                 self._write(t, fresh.select(*names), True)
-            if hits and self._repeats(self._rows(t), key):
-                raise ConstraintError(f"UNIQUE constraint failed: {t['name']}")
             changed += hits + n
             self._fire(t["name"].lower(), "INSERT", "AFTER", fresh, depth)
         return changed
@@ -631,12 +659,11 @@ class Database:
         rows = self._fire(low, "UPDATE", "BEFORE", rows, depth, set(put))
         self._validate(t, rows)
         gone = rows.select(*[F.col(name(o)).alias(k) for o, k in zip(old_key, key, strict=True)])
-        rest = self._rows(t).join(gone, key, "left_anti").select(*names)
         if set(put) & {k for u in [key, *self._uniques(t)] for k in u}:
-            self._check_unique(t, rows, rest)
+            self._check_unique(t, rows, self._rows(t).join(gone, key, "left_anti"))
         changed = rows.count()
         if changed:
-            self._write(t, rest.union(rows.select(*names)), False)
+            self._replace(t, gone, rows)
         self._fire(low, "UPDATE", "AFTER", rows, depth, set(put))
         return self._returned(t, s.returning, rows, params) if s.returning else changed
 
@@ -650,7 +677,7 @@ class Database:
         changed = rows.count()
         gone = rows.select(*[F.col(name("__old_" + k)).alias(k) for k in key])
         if changed:
-            self._write(t, self._rows(t).join(gone, key, "left_anti").select(*names), False)
+            self._replace(t, gone, None)
         self._fire(low, "DELETE", "AFTER", rows, depth)
         if s.returning:
             rows = rows.select(*[F.col(name("__old_" + c)).alias(c) for c in names])

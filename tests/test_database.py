@@ -175,3 +175,17 @@ def test_connection_and_shell(spark, tmp_path):
     shown = out.getvalue()
     assert "1  | x" in shown and "CREATE TABLE t" in shown and "error: no such column" in shown
     assert complete("SELECT 1;") and not complete("SELECT ';'") and not complete("CREATE TRIGGER a AFTER INSERT ON t BEGIN SELECT 1;")
+
+
+def test_only_touched_segments_are_rewritten(db):
+    db.execute("CREATE TABLE t (id INTEGER PRIMARY KEY, v INTEGER)")
+    for low in (0, 10, 20):
+        db.execute(f"INSERT INTO t SELECT value, 0 FROM generate_series({low}, {low + 9})")
+    paths = lambda: [s["path"] for s in db.state["tables"]["t"]["segments"]]
+    first = paths()
+    db.execute("UPDATE t SET v = 1 WHERE id = 15")
+    db.execute("DELETE FROM t WHERE id = 16")
+    assert len(paths()) == 3 and first[0] in paths() and first[2] in paths() and first[1] not in paths()
+    assert db.scalar("SELECT sum(v) * 100 + count(*) FROM t") == 129
+    db.compact("t")
+    assert len(paths()) == 1 and db.scalar("SELECT count(*) FROM t") == 29
