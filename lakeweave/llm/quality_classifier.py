@@ -42,6 +42,8 @@ RIDGE = 1e-3
 TOLERANCE = 3.0
 #: Most standard deviations that a feature counts for.
 CLIP = 3.0
+#: Tasks that add up partial sums before the driver does.
+GATHER = 8
 #: Bins of the score histogram from which a prior is estimated without negative labels.
 BINS = 200
 
@@ -118,6 +120,30 @@ def _rows(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<f4").reshape(-1, width).astype(np.float64)
 
 
+def _total(rows: DataFrame, columns: list[str], partial, kind: str = "<f8") -> np.ndarray | None:
+    """The sum of one array a partition, made by ``partial`` from its batches; None without partitions.
+
+    Partial sums are added up in ``GATHER`` tasks first, so that what the
+    driver gets does not grow with the number of partitions.
+    """
+
+    def each(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([partial(batches).astype(kind).tobytes()], pa.binary())], ["s"])
+
+    def add(batches):
+        total = None
+        for batch in batches:
+            for packed in batch.column("s").to_pylist():
+                found = np.frombuffer(packed, kind)
+                total = found.copy() if total is None else total + found
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.astype(kind).tobytes()], pa.binary())], ["s"])
+
+    parts = rows.select(*columns).mapInArrow(each, "s binary").repartition(GATHER).mapInArrow(add, "s binary")
+    found = [np.frombuffer(b, kind) for b in parts.toArrow().column("s").to_pylist()]
+    return np.sum(found, axis=0) if found else None
+
+
 def _standard(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
     """Standardised features, clipped so that one odd share cannot decide alone."""
     x = np.clip((x - mean) / scale, -CLIP, CLIP)
@@ -130,7 +156,7 @@ def _sums(rows: DataFrame, weights: np.ndarray, mean: np.ndarray, scale: np.ndar
     width = len(weights)
     sent = rows.sparkSession.sparkContext.broadcast((weights, mean, scale))
 
-    def run(batches):
+    def partial(batches):
         w, mu, sd = sent.value
         total = np.zeros(6 + 2 * width + width * width)
         for batch in batches:
@@ -143,25 +169,23 @@ def _sums(rows: DataFrame, weights: np.ndarray, mean: np.ndarray, scale: np.ndar
             total[6 : 6 + width] += x.T @ sigma
             total[6 + width : 6 + 2 * width] += x[p].sum(0)
             total[6 + 2 * width :] += (x.T @ (x * (sigma * (1 - sigma))[:, None])).ravel()
-        yield pa.RecordBatch.from_arrays([pa.array([total.astype("<f8").tobytes()], pa.binary())], ["s"])
+        return total
 
-    parts = rows.select("x", "positive").mapInArrow(run, "s binary").toArrow().column("s").to_pylist()
-    t = np.sum([np.frombuffer(b, "<f8") for b in parts], axis=0) if parts else np.zeros(6 + 2 * width + width * width)
+    t = _total(rows, ["x", "positive"], partial)
     return {"n": t[0], "p": t[1], "u_neg": t[2], "p_neg": t[3], "p_pos": t[4], "p_neg2": t[5], "u_grad": t[6 : 6 + width], "p_sum": t[6 + width : 6 + 2 * width], "hess": t[6 + 2 * width :].reshape(width, width)}
 
 
 def _moments(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     width = SHAPES + 12
 
-    def run(batches):
+    def partial(batches):
         total = np.zeros(1 + 2 * width)
         for batch in batches:
             x = _rows(batch.column("x"))
             total += np.concatenate(([len(x)], x.sum(0), (x**2).sum(0)))
-        yield pa.RecordBatch.from_arrays([pa.array([total.astype("<f8").tobytes()], pa.binary())], ["s"])
+        return total
 
-    parts = rows.select("x").mapInArrow(run, "s binary").toArrow().column("s").to_pylist()
-    t = np.sum([np.frombuffer(b, "<f8") for b in parts], axis=0)
+    t = _total(rows, ["x"], partial)
     n = max(1.0, t[0])
     mean = t[1 : 1 + width] / n
     scale = np.sqrt(np.maximum(t[1 + width :] / n - mean**2, 0))
@@ -211,7 +235,7 @@ def _mixture_prior(rows: DataFrame, w: np.ndarray, mean: np.ndarray, scale: np.n
     """The least ratio of unlabelled to positive mass above a score."""
     sent = rows.sparkSession.sparkContext.broadcast((w, mean, scale))
 
-    def run(batches):
+    def partial(batches):
         w, mu, sd = sent.value
         total = np.zeros((2, BINS), np.int64)
         for batch in batches:
@@ -220,10 +244,9 @@ def _mixture_prior(rows: DataFrame, w: np.ndarray, mean: np.ndarray, scale: np.n
             p = np.asarray(batch.column("positive").to_pylist(), bool)
             total[0] += np.bincount(at, minlength=BINS)
             total[1] += np.bincount(at[p], minlength=BINS)
-        yield pa.RecordBatch.from_arrays([pa.array([total.astype("<i8").tobytes()], pa.binary())], ["s"])
+        return total.ravel()
 
-    parts = rows.select("x", "positive").mapInArrow(run, "s binary").toArrow().column("s").to_pylist()
-    t = np.sum([np.frombuffer(b, "<i8").reshape(2, BINS) for b in parts], axis=0)
+    t = _total(rows, ["x", "positive"], partial, "<i8").reshape(2, BINS)
     above = np.cumsum(t[:, ::-1], axis=1) / np.maximum(1, t.sum(1, keepdims=True))
     enough = above[1] >= 0.3
     return float(np.clip((above[0][enough] / above[1][enough]).min(), 0.05, 0.95))
