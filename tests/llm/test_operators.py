@@ -388,3 +388,12 @@ def test_held_out_labels_are_not_read(spark, sample):
     a = {r.doc_id: r.score for r in quality_classifier.classify(sample, labels).collect()}
     b = {r.doc_id: r.score for r in quality_classifier.classify(sample, turned).collect()}
     assert all(a[d] == pytest.approx(b[d], abs=1e-9) for d in a)
+
+
+def test_prior_from_positives_alone(spark):
+    sf = SF.replace("sf0.001", "sf0.01")
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows = {r.doc_id: r.score for r in quality_classifier.classify(docs, labels.filter("quality = 1")).collect()}
+    truth = {r.doc_id: r.quality for r in labels.collect()}
+    good, bad = ([rows[d] for d, q in truth.items() if q == k and held_out(d, 3, 1)] for k in (1, 0))
+    assert np.mean([g > b for g in good for b in bad]) > 0.97
