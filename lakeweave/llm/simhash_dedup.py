@@ -287,13 +287,11 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, differ: int = DIFFER, samp
     doc_id, text = (flat[f"c{names.index(n)}"] for n in ("doc_id", "text"))
     flat = flat.withColumns({"k_id": doc_id.cast("long"), "k_hash": F.xxhash64(text)})
 
-    def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
-        gone = gone.select(F.col("doc_id").alias("g_id"), F.col("text_hash").alias("g_hash"))
-        right = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-        return rows.join(right, rows["k_id"].eqNullSafe(gone["g_id"]) & (rows["k_hash"] == gone["g_hash"]), "left_anti")
-
-    once = without(flat, met.filter("NOT stays OR rows > 1"))
-    again = met.filter("stays AND rows > 1").select(F.col("doc_id").alias("g_id"), F.col("text_hash").alias("g_hash"))
-    repeated = flat.join(again, flat["k_id"].eqNullSafe(again["g_id"]) & (flat["k_hash"] == again["g_hash"]), "left_semi")
-    repeated = repeated.dropDuplicates(["k_id", "k_hash"])
+    def meet(keys: DataFrame, how: str) -> DataFrame:
+        keys = keys.select(F.col("doc_id").alias("g_id"), F.col("text_hash").alias("g_hash"))
+        right = F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys
+        return flat.join(right, flat["k_id"].eqNullSafe(keys["g_id"]) & (flat["k_hash"] == keys["g_hash"]), how)
+
+    once = meet(met.filter("NOT stays OR rows > 1"), "left_anti")
+    repeated = meet(met.filter("stays AND rows > 1"), "left_semi").dropDuplicates(["k_id", "k_hash"])
     return once.unionByName(repeated).select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)])
