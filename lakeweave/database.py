@@ -597,10 +597,11 @@ class Database:
             put = {self._find(t, c)["name"]: e.expr(x, scope)[0] for c, x in sets}
             on = " AND ".join(f"{name(t['name'])}.{name(k)} = excluded.{name(k)}" for k in key)
             at = name(t["name"])
-            items = [f"{at}.{name(k)} AS {name('__old_' + k)}" for k in key]
+            items = [f"{at}.{name(c)} AS {name('__old_' + c)}" for c in names]
             items += [f"CAST({put[c['name']]} AS {SPARK[c['kind']]}) AS {name(c['name'])}" if c["name"] in put else f"{at}.{name(c['name'])}" for c in t["columns"]]
             where = f" WHERE {e.truth(s.upsert.where, scope)}" if s.upsert.where is not None else ""
-            done = self._stage(self._generated(t, self.spark.sql(f"SELECT {', '.join(items)} FROM {name(new)} AS {at} JOIN {name(view)} AS excluded ON {on}{where}")))
+            done = self._ordered(self._generated(t, self.spark.sql(f"SELECT {', '.join(items)} FROM {name(new)} AS {at} JOIN {name(view)} AS excluded ON {on}{where}")))
+            done = self._fire(t["name"].lower(), "UPDATE", "BEFORE", done, depth, set(put))
             hits = done.count()
             self._validate(t, done)
             if hits:
@@ -613,6 +614,7 @@ class Database:
             if n:
                 self._write(t, fresh.select(*names), True)
             changed += hits + n
+            self._fire(t["name"].lower(), "UPDATE", "AFTER", done, depth, set(put))
             self._fire(t["name"].lower(), "INSERT", "AFTER", fresh, depth)
         return changed
 

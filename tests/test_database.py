@@ -104,6 +104,14 @@ def test_triggers(db):
     db.execute("CREATE TRIGGER loop AFTER INSERT ON audit BEGIN INSERT INTO audit (msg) SELECT 'again' WHERE (SELECT count(*) FROM audit) < 6; END")
 
 
+def test_upserts_fire_update_triggers(db):
+    filled(db)
+    db.execute("CREATE TABLE audit (id INTEGER PRIMARY KEY AUTOINCREMENT, msg TEXT)")
+    db.execute("CREATE TRIGGER u AFTER UPDATE ON t BEGIN INSERT INTO audit (msg) VALUES (OLD.name || '>' || NEW.name); END")
+    assert db.execute("INSERT INTO t VALUES (1, 'z', 0), (9, 'n', 0) ON CONFLICT (id) DO UPDATE SET name = excluded.name") == 2
+    assert rows(db, "SELECT msg FROM audit") == [("alice>z",)]
+
+
 def test_row_triggers_see_earlier_rows(db):
     db.execute("CREATE TABLE t (id INTEGER PRIMARY KEY, k TEXT); CREATE TABLE n (k TEXT PRIMARY KEY, c INTEGER)")
     db.execute("CREATE TRIGGER c AFTER INSERT ON t BEGIN INSERT INTO n VALUES (NEW.k, 1) ON CONFLICT (k) DO UPDATE SET c = c + 1; END")
