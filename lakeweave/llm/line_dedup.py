@@ -52,25 +52,26 @@ def masked_lines(text: Column) -> Column:
 def _keys(text: Column, least_words: int) -> Column:
     """An array over the text's lines of the arrays of their templates' hashes; short lines have none."""
 
-    def hashed(line: Column) -> Column:
-        n = F.when(line == "", 0).otherwise(F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1)
-        exact = F.when(n >= least_words, F.xxhash64(F.lit(0), line))
+    def hashed(x: Column) -> Column:
+        words, n = x["words"], F.size(x["words"])
 
-        def part(words: Column, k: int) -> Column:
-            start = F.lit(DEPTH) + F.ceil((F.size(words) - DEPTH) * k / PARTS).cast("int")
-            end = F.lit(DEPTH) + F.ceil((F.size(words) - DEPTH) * (k + 1) / PARTS).cast("int")
+        def part(k: int) -> Column:
+            start = F.lit(DEPTH) + F.ceil((n - DEPTH) * k / PARTS).cast("int")
+            end = F.lit(DEPTH) + F.ceil((n - DEPTH) * (k + 1) / PARTS).cast("int")
             return F.xxhash64(F.slice(words, start + 1, end - start))
 
-        # The words are split once and each part hashed once.
-        apart = F.when(n >= max(GENERAL_WORDS, least_words), F.array(F.split(line, " "))).otherwise(F.array().cast("array<array<string>>"))
-        parts = F.transform(apart, lambda w: F.array(F.xxhash64(F.size(w), F.slice(w, 1, DEPTH)), *[part(w, k) for k in range(PARTS)]))
-        return F.struct(exact.alias("exact"), parts.alias("parts"))
+        parts = F.when(n >= max(GENERAL_WORDS, least_words), F.array(F.xxhash64(n, F.slice(words, 1, DEPTH)), *[part(k) for k in range(PARTS)]))
+        return F.struct(F.when(n >= least_words, F.xxhash64(F.lit(0), x["line"])).alias("exact"), parts.alias("parts"))
 
     def keys(x: Column) -> Column:
-        general = F.transform(x["parts"], lambda p: F.array(*[F.xxhash64(F.lit(k + 1), *[p[i] for i in range(PARTS + 1) if i != k + 1]) for k in range(PARTS)]))
-        return F.concat(F.array_compact(F.array(x["exact"])), F.flatten(general))
-
-    return F.transform(F.transform(masked_lines(text), hashed), keys)
+        parts, exact = x["parts"], x["exact"]
+        general = [F.xxhash64(F.lit(k + 1), *[parts[i] for i in range(PARTS + 1) if i != k + 1]) for k in range(PARTS)]
+        none = F.array().cast("array<long>")
+        return F.when(parts.isNotNull(), F.array(exact, *general)).when(exact.isNotNull(), F.array(exact)).otherwise(none)
+
+    # Each line is split once and each part hashed once.
+    lines = F.transform(masked_lines(text), lambda line: F.struct(line.alias("line"), F.split(line, " ").alias("words")))
+    return F.transform(F.transform(lines, hashed), keys)
 
 
 def lost_keys(docs: DataFrame, least_docs=LEAST_DOCS, least_words=LEAST_WORDS) -> DataFrame:
