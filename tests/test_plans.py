@@ -54,6 +54,12 @@ def test_distinct_on_a_key_is_free(ws):
     assert "Aggregate" not in plan(R.distinct(ws.table("orders").select("o_orderkey", "o_custkey"), ("o_orderkey",)))
 
 
+def test_distinct_sql_on_a_key_is_free(ws):
+    assert "Aggregate" not in plan(ws.sql("SELECT DISTINCT o_custkey, o_orderkey FROM orders"))
+    assert "Aggregate" in plan(ws.sql("SELECT DISTINCT o_custkey FROM orders"))
+    assert "Aggregate" in plan(ws.sql("SELECT DISTINCT a.o_orderkey FROM orders a JOIN lineitem ON a.o_orderkey = l_orderkey"))
+
+
 def test_salted_join(spark):
     left = spark.createDataFrame([(1, i) for i in range(50)] + [(2, 0), (3, 0)], "k int, v int")
     right = spark.createDataFrame([(1, "a"), (2, "b")], "k int, w string")
