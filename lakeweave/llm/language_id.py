@@ -32,8 +32,8 @@ SMOOTHING = 0.05
 EM_ROUNDS = 24
 #: Most languages a model may have: it is sent to every executor, 0.5 MB a language.
 MOST_LANGUAGES = 256
-#: Trigram rows of a chunk of documents worked on at once.
-CHUNK = 120_000
+#: Trigrams times languages of a chunk of documents worked on at once.
+CHUNK = 500_000
 
 _ALPHA = None
 
@@ -184,7 +184,7 @@ def identify(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
                 chunk.append(pair)
                 where.append(i)
                 size += len(pair[0])
-                if size > CHUNK:
+                if size * len(names) > CHUNK:
                     settle()
                     size = 0
             settle()
@@ -227,7 +227,7 @@ def keep_identified(docs: DataFrame, least_score: float = 0.0) -> DataFrame:
                     chunk.append(np.unique(grams, return_counts=True))
                     where.append(i)
                     size += len(chunk[-1][0])
-                if chunk and (last or size > CHUNK):
+                if chunk and (last or size * len(names) > CHUNK):
                     pi, certainty = infer(chunk, logs)
                     keep[where] = pi.max(1) * np.where(pi.max(1) >= 1, certainty.max(1), 1) > least_score
                     chunk, where, size = [], [], 0

@@ -40,7 +40,8 @@ def source_targets(
     ``weights`` in turn. The targets are min(most * size, weight * level) for the
     level at which they add up to ``budget`` times all sizes: what re-sharing the
     excess of capped sources by weight converges to. Sources ordered by
-    size / weight are capped as a prefix, so running sums find the level.
+    size / weight are capped as a prefix, so running sums find the level. The
+    windows order one narrow row a source.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     rank = Window.orderBy(F.col("source").asc_nulls_last())

@@ -98,7 +98,8 @@ def shard_by_bytes(docs: DataFrame, shards: int = SHARDS, ranges_per_shard: int
     uniform = F.pmod("mark", F.lit(1 << 40)) / F.lit(float(1 << 40))
     drawn = rows.filter(uniform < F.col("size") / per_draw)
     weight = F.greatest(F.lit(1), F.round(F.col("size") / per_draw)).cast("long")
-    # Sampled keys are ranked by weight; each of `wanted` quantiles keeps its first key.
+    # Sampled keys, about wanted * SAMPLED of them at any input size, are ranked by weight in one task;
+    # each of `wanted` quantiles keeps its first key.
     per_key = drawn.groupBy("key").agg(F.sum(weight).alias("weight"))
     running = F.sum("weight").over(Window.orderBy("key").rowsBetween(Window.unboundedPreceding, 0))
     quantile = F.floor((running - 1) * wanted / F.sum("weight").over(Window.partitionBy(F.lit(0))))
