@@ -31,7 +31,9 @@ from lakeweave.llm.common import pick
 
 SCALE = 256
 ROWS = 8_192
-QUERIES = 2_048
+QUERIES = 16_384
+#: Queries of a block worked on at once: SUB * ROWS scores are kept.
+SUB = 1_024
 #: Falling shares of the largest impact; segments between two of them are processed together.
 GROUPS = (0.4, 0.3, 0.22, 0.16, 0.11, 0.07, 0.04, 0.02, 0.0)
 #: A query stops when it has at most so many possible members.
@@ -110,10 +112,12 @@ def top_k(vectors: DataFrame, k: int, is_query: Column, id_col: str = "vec_id",
         q_ids, q_hash = left.column("vec_id").to_numpy(), left.column("query_hash").to_numpy()
         ids = right.column("vec_id").to_numpy()
         found = [none]
-        for at, idx, scores in _search(q_ids, _matrix(left.column("v"), width), ids, _matrix(right.column("v"), width), k):
-            best = np.lexsort((ids[idx], -scores))[:k]
-            m = len(best)
-            found.append(pa.table({"query_id": np.full(m, q_ids[at]), "query_hash": np.full(m, q_hash[at]), "vec_id": ids[idx[best]], "score": scores[best]}))
+        vectors, matrix = _matrix(left.column("v"), width), _matrix(right.column("v"), width)
+        for a in range(0, len(q_ids), SUB):
+            for at, idx, scores in _search(q_ids[a : a + SUB], vectors[a : a + SUB], ids, matrix, k):
+                best = np.lexsort((ids[idx], -scores))[:k]
+                m = len(best)
+                found.append(pa.table({"query_id": np.full(m, q_ids[a + at]), "query_hash": np.full(m, q_hash[a + at]), "vec_id": ids[idx[best]], "score": scores[best]}))
         return pa.concat_tables(found)
 
     pairs = q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInArrow(meet, schema)

@@ -195,12 +195,13 @@ def test_terms_that_reveal_are_found(make_docs):
 # 5
 
 
-def test_topk_by_force(spark):
+def test_topk_by_force(spark, monkeypatch):
     rng = np.random.default_rng(4)
     vectors = rng.normal(0, 0.2, (700, 16)).astype(np.float32)
     vectors[300:340] = vectors[20]
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
-    rows = topk_search.top_k(df, 5, F.col("vec_id") % 50 == 0, rows=128, queries=4).collect()
+    monkeypatch.setattr(topk_search, "SUB", 3)
+    rows = topk_search.top_k(df, 5, F.col("vec_id") % 50 == 0, rows=128, queries=8).collect()
     ints = np.floor(256 * vectors.astype(float)).astype(int)
     expected = set()
     for q in range(0, 700, 50):
