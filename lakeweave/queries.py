@@ -324,6 +324,53 @@ fn_date("datetime", "strftime(ts, '%Y-%m-%d %H:%M:%S')")
 for _part in ("year", "month", "day", "hour", "minute", "second"):
     fn_date(_part, f"{_part}(ts)::BIGINT")
 
+# The same operators by DataFrame functions
+
+
+@frame("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey = 42")
+def df_point_lookup(spark, sf_dir):
+    return R.point_lookup(Workspace.over(spark, sf_dir).table("orders"), {"o_orderkey": 42}).select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+@frame("SELECT p_partkey, p_size FROM part WHERE p_partkey >= 100 AND p_partkey < 180 AND (p_size = 3 OR p_brand = 'Brand#13')")
+def df_range_and_union(spark, sf_dir):
+    part = R.range_scan(Workspace.over(spark, sf_dir).table("part"), "p_partkey", 100, 180, include_high=False)
+    return R.index_union(part, F.col("p_size") == 3, F.col("p_brand") == "Brand#13").select("p_partkey", "p_size")
+
+
+@frame("SELECT l_orderkey, l_linenumber, s_name FROM lineitem LEFT JOIN supplier ON l_suppkey = s_suppkey")
+def df_salted_join(spark, sf_dir):
+    ws = Workspace.over(spark, sf_dir)
+    line = ws.table("lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("k"))
+    return R.salted_join(line, ws.table("supplier").select(F.col("s_suppkey").alias("k"), "s_name"), "k", 8, "left").drop("k")
+
+
+@frame("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def df_anti_join(spark, sf_dir):
+    ws = Workspace.over(spark, sf_dir)
+    return R.exists(ws.table("customer"), ws.table("orders"), [("c_custkey", "o_custkey")], negated=True).select("c_custkey", "c_name")
+
+
+@frame("SELECT d.doc_id, l.doc_id AS other FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id AND l.quality = 1 AND d.n_chars > 500")
+def df_left_join_residual(spark, sf_dir):
+    ws = Workspace.over(spark, sf_dir)
+    d, l = ws.table("documents"), ws.table("labels").withColumnRenamed("doc_id", "other")
+    return R.equi_join(d, l, [("doc_id", "other")], "left", (l["quality"] == 1) & (d["n_chars"] > 500)).select("doc_id", "other")
+
+
+@frame("SELECT o_custkey, count(*) AS n, arg_max(o_totalprice, o_orderkey) AS o_totalprice, string_agg(o_orderstatus, ',' ORDER BY o_orderkey) AS states FROM orders GROUP BY o_custkey")
+def df_group_last(spark, sf_dir):
+    orders = Workspace.over(spark, sf_dir).table("orders")
+    states = R.group_concat(F.col("o_orderstatus"), order=F.col("o_orderkey")).alias("states")
+    return R.group_last(orders, ["o_custkey"], ["o_orderkey"], F.count(F.lit(1)).alias("n"), states, bare=("o_totalprice",))
+
+
+@frame("SELECT n_nationkey FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_suppkey < 5 EXCEPT SELECT 3")
+def df_except_chain(spark, sf_dir):
+    ws = Workspace.over(spark, sf_dir)
+    return R.set_operation("EXCEPT", ws.table("nation").select("n_nationkey"), ws.table("supplier").filter("s_suppkey < 5").select("s_nationkey"), spark.range(3, 4).select(F.col("id").cast("int")))
+
+
 # Data changes: each returns the end state
 
 _NATION = "CREATE TABLE t (id INTEGER PRIMARY KEY, name TEXT, region INTEGER NOT NULL DEFAULT 0)"
