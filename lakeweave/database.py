@@ -477,7 +477,11 @@ class Database:
             source = self._select(s.source, params)
             if len(source.columns) != len(columns):
                 raise SqlError(f"table {t['name']} has {len(columns)} columns but {len(source.columns)} values were supplied")
-        rows = self._ordered(source.toDF(*(columns or source.columns)))
+        source = source.toDF(*(columns or source.columns))
+        low = t["name"].lower()
+        simple = s.action in (None, "ABORT", "FAIL", "ROLLBACK") and s.upsert is None and not s.returning and not any(c["auto"] for c in t["columns"])
+        simple = simple and not any(o["table"] == low and o["event"] == "INSERT" for o in self.state["triggers"].values())
+        rows = source.withColumn("__at", F.lit(0).cast("long")) if simple else self._ordered(source)
         values = []
         for c in t["columns"]:
             x = self._coerced(rows, c["name"], c) if c["name"] in columns else F.lit(None).cast(SPARK[c["kind"]])
@@ -485,9 +489,25 @@ class Database:
                 x = F.coalesce(x, F.expr(default).cast(SPARK[c["kind"]]))
             values.append(x.alias(c["name"]))
         rows = rows.select(*values, "__at")
+        if simple:
+            return self._append(t, self._generated(t, rows))
         rows = self._generated(t, self._numbered(t, rows))
         return self._put(t, s, rows, params, depth)
 
+    def _append(self, t: dict, rows: DataFrame) -> int:
+        """Write the rows as a segment once; it joins the table if what it holds keeps the constraints."""
+        before = t["segments"]
+        self._write(t, rows, True)
+        made = t["segments"][-1]
+        try:
+            rows = self._rows({**t, "segments": [made]})
+            n = self._validate(t, rows)
+            self._check_unique(t, rows, self._rows({**t, "segments": before}))
+        except Exception:
+            self.store.delete(made["path"])
+            raise
+        return n
+
     def _numbered(self, t: dict, rows: DataFrame) -> DataFrame:
         """Missing AUTOINCREMENT keys filled in statement order, above every key ever used."""
         for c in t["columns"]:
@@ -516,18 +536,18 @@ class Database:
         sql, kind = e.expr(x, scope)
         return sql.replace(f"{name(t['name'])}.", ""), kind
 
-    def _validate(self, t: dict, rows: DataFrame) -> None:
-        """NOT NULL, primary key and CHECK, in one pass."""
+    def _validate(self, t: dict, rows: DataFrame) -> int:
+        """NOT NULL, primary key and CHECK, in one pass; the number of rows."""
         from lakeweave.functions.scalar import truth
 
         checks = [(f"NOT NULL constraint failed: {t['name']}.{c['name']}", F.col(name(c["name"])).isNull()) for c in t["columns"] if c["not_null"] or c["name"] in t["primary"]]
         for text in [*t["checks"], *[c["check"] for c in t["columns"] if c["check"]]]:
             checks.append((f"CHECK constraint failed: {text}", ~F.coalesce(F.expr(truth(self._over(t, parse_expr(text)))), F.lit(True))))
-        if checks:
-            found = rows.agg(*[F.count_if(bad).alias(f"n{i}") for i, (_, bad) in enumerate(checks)]).first()
-            for (message, _), n in zip(checks, found, strict=True):
-                if n:
-                    raise ConstraintError(message)
+        total, *found = rows.agg(F.count(F.lit(1)), *[F.count_if(bad).alias(f"n{i}") for i, (_, bad) in enumerate(checks)]).first()
+        for (message, _), n in zip(checks, found, strict=True):
+            if n:
+                raise ConstraintError(message)
+        return total
 
     def _repeats(self, rows: DataFrame, key: list[str]) -> bool:
         keyed = rows.select(*[F.col(name(k)) for k in key]).dropna()
