@@ -78,7 +78,7 @@ def lost_keys(docs: DataFrame, least_docs=LEAST_DOCS, least_words=LEAST_WORDS) -
     """id, hash, lost: the templates whose lines each document loses, for documents that lose any."""
     d = pick(docs, "doc_id", "text")
     keyed = d.select(d["doc_id"].cast("long").alias("id"), F.xxhash64("text").alias("hash"), F.array_distinct(F.flatten(_keys(d["text"], least_words))).alias("keys"))
-    keyed = cut(keyed.filter(F.size("keys") > 0))
+    keyed = cut(keyed)  # a filter on the keys would be pushed down and make them twice; explode drops the empty
     # A document's different keys count once, and the rows of one document share one vote.
     again = cut(keyed.groupBy("id", "hash").count().filter("count > 1").select(F.col("id").alias("a_id"), F.col("hash").alias("a_hash"), "count"))
     again = F.broadcast(again) if again.count() <= BROADCAST_ROWS else again
@@ -104,7 +104,12 @@ def drop_recurring_lines(docs: DataFrame, least_docs=LEAST_DOCS, least_words=LEA
     stays = F.filter(pairs, lambda x: ~F.arrays_overlap(F.col("lost"), x["keys"]))
     rest = F.when(F.col("lost").isNotNull(), F.transform(stays, lambda x: x["line"]))
     n_lines = F.when(text.isNull(), 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
-    out = joined.withColumn("rest", rest).withColumn("n_lines", n_lines)
-    dropped = F.when(F.col("rest").isNull(), F.lit(0)).otherwise(F.col("n_lines") - F.size("rest")).cast("long")
-    cleaned = F.when(F.col("rest").isNull(), text).otherwise(F.array_join("rest", "\n"))
-    return out.select(*[(cleaned if n == "text" else F.col(f"c{i}")).alias(n) for i, n in enumerate(names)], "n_lines", dropped.alias("n_dropped"))
+
+    def done(kept: Column) -> Column:
+        same = kept.isNull()
+        dropped = F.when(same, F.lit(0)).otherwise(n_lines - F.size(kept)).cast("long")
+        return F.struct(F.when(same, text).otherwise(F.array_join(kept, "\n")).alias("text"), dropped.alias("n_dropped"))
+
+    # Exploding one row is a barrier: a filter on the result is not pushed below it and computes nothing again.
+    out = joined.select("*", n_lines.alias("n_lines"), F.explode(F.transform(F.array(rest), done)).alias("done"))
+    return out.select(*[F.col("done.text" if n == "text" else f"c{i}").alias(n) for i, n in enumerate(names)], "n_lines", "done.n_dropped")
