@@ -60,6 +60,12 @@ def test_distinct_sql_on_a_key_is_free(ws):
     assert "Aggregate" in plan(ws.sql("SELECT DISTINCT a.o_orderkey FROM orders a JOIN lineitem ON a.o_orderkey = l_orderkey"))
 
 
+def test_shuffle_partitions_follow_the_input():
+    from lakeweave.session import shuffle_partitions_for
+
+    assert shuffle_partitions_for(1) == 8 and shuffle_partitions_for(100 << 40) == 819_200
+
+
 def test_salted_join(spark):
     left = spark.createDataFrame([(1, i) for i in range(50)] + [(2, 0), (3, 0)], "k int, v int")
     right = spark.createDataFrame([(1, "a"), (2, "b")], "k int, w string")
