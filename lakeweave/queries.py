@@ -23,9 +23,19 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+_known: dict[str, Workspace] = {}
+
+
+def workspace(spark: SparkSession, sf_dir: str) -> Workspace:
+    """The folder's workspace, kept for the session that last used it: like a catalog, it knows its tables' schemas."""
+    if sf_dir not in _known or _known[sf_dir].spark is not spark:
+        _known[sf_dir] = Workspace.over(spark, sf_dir)
+    return _known[sf_dir]
+
+
 def sql(name: str, text: str, oracle: str | None = "", params: dict | list | None = None) -> None:
     """Register a text of the dialect; the oracle is the same text unless given, none if None."""
-    QUERIES[name] = lambda spark, sf_dir: Workspace.over(spark, sf_dir).sql(text, params)
+    QUERIES[name] = lambda spark, sf_dir: workspace(spark, sf_dir).sql(text, params)
     if oracle is not None:
         ORACLES[name] = oracle or text
 
@@ -54,7 +64,7 @@ def dml(name: str, setup: list[str], result: str, oracle: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         db = Database(spark, scratch(spark))
         for table, key in (("nation", ("n_nationkey",)), ("region", ("r_regionkey",)), ("supplier", ("s_suppkey",)), ("customer", ("c_custkey",)), ("part", ("p_partkey",))):
-            db.attach(table, spark.read.parquet(f"{sf_dir}/{table}.parquet"), key)
+            db.attach(table, workspace(spark, sf_dir).table(table), key)
         for s in setup:
             db.execute(s)
         return db.query(result)
@@ -70,7 +80,7 @@ def dml(name: str, setup: list[str], result: str, oracle: str) -> None:
 """)
 def flagship(spark, sf_dir):
     """Scan, filter, join, group, having, order, limit."""
-    df = Workspace.over(spark, sf_dir).sql("""
+    df = workspace(spark, sf_dir).sql("""
         SELECT c_mktsegment AS seg, count(*) AS n, sum(o_totalprice) AS rev
         FROM customer JOIN orders ON c_custkey = o_custkey WHERE o_orderdate >= '1996-01-01'
         GROUP BY c_mktsegment HAVING count(*) > 10 ORDER BY rev DESC LIMIT 5
@@ -188,24 +198,24 @@ sql("agg_filter", "SELECT o_custkey, count(*) FILTER (WHERE o_orderstatus = 'F')
 
 @frame("SELECT n_regionkey, n_name, count(*) AS n FROM nation GROUP BY ROLLUP (n_regionkey, n_name)")
 def rollup(spark, sf_dir):
-    return Workspace.over(spark, sf_dir).table("nation").rollup("n_regionkey", "n_name").agg(F.count(F.lit(1)).alias("n"))
+    return workspace(spark, sf_dir).table("nation").rollup("n_regionkey", "n_name").agg(F.count(F.lit(1)).alias("n"))
 
 
 @frame("SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
 def cube(spark, sf_dir):
-    return Workspace.over(spark, sf_dir).table("lineitem").cube("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"))
+    return workspace(spark, sf_dir).table("lineitem").cube("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"))
 
 
 @frame("SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())")
 def grouping_sets(spark, sf_dir):
-    df = Workspace.over(spark, sf_dir).table("orders")
+    df = workspace(spark, sf_dir).table("orders")
     status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
     return df.groupingSets([[status], [priority], []], status, priority).agg(F.count(F.lit(1)).alias("n"))
 
 
 @frame(None)
 def approx_distinct(spark, sf_dir):
-    return Workspace.over(spark, sf_dir).table("orders").agg(F.approx_count_distinct("o_custkey").alias("n"))
+    return workspace(spark, sf_dir).table("orders").agg(F.approx_count_distinct("o_custkey").alias("n"))
 
 
 # Windows
@@ -240,19 +250,19 @@ sql("distinct_order_limit", "SELECT DISTINCT p_size FROM part ORDER BY p_size DE
 
 @frame("SELECT l_orderkey, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 10 OFFSET 5")
 def topk(spark, sf_dir):
-    df = Workspace.over(spark, sf_dir).table("lineitem")
+    df = workspace(spark, sf_dir).table("lineitem")
     return R.top_k(df, [F.desc("l_extendedprice"), F.asc("l_orderkey"), F.asc("l_linenumber")], 10, 5).select("l_orderkey", "l_extendedprice")
 
 
 @frame("SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 2")
 def topk_per_group(spark, sf_dir):
-    df = Workspace.over(spark, sf_dir).table("orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    df = workspace(spark, sf_dir).table("orders").select("o_custkey", "o_orderkey", "o_totalprice")
     return R.top_k_per_group(df, ["o_custkey"], [F.desc("o_totalprice"), F.asc("o_orderkey")], 2)
 
 
 @frame("SELECT DISTINCT o_orderkey, o_custkey FROM orders")
 def distinct_by_key(spark, sf_dir):
-    return R.distinct(Workspace.over(spark, sf_dir).table("orders").select("o_orderkey", "o_custkey"), ("o_orderkey",))
+    return R.distinct(workspace(spark, sf_dir).table("orders").select("o_orderkey", "o_custkey"), ("o_orderkey",))
 
 
 # Set operations, CTEs, subqueries
@@ -329,45 +339,45 @@ for _part in ("year", "month", "day", "hour", "minute", "second"):
 
 @frame("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey = 42")
 def df_point_lookup(spark, sf_dir):
-    return R.point_lookup(Workspace.over(spark, sf_dir).table("orders"), {"o_orderkey": 42}).select("o_orderkey", "o_custkey", "o_totalprice")
+    return R.point_lookup(workspace(spark, sf_dir).table("orders"), {"o_orderkey": 42}).select("o_orderkey", "o_custkey", "o_totalprice")
 
 
 @frame("SELECT p_partkey, p_size FROM part WHERE p_partkey >= 100 AND p_partkey < 180 AND (p_size = 3 OR p_brand = 'Brand#13')")
 def df_range_and_union(spark, sf_dir):
-    part = R.range_scan(Workspace.over(spark, sf_dir).table("part"), "p_partkey", 100, 180, include_high=False)
+    part = R.range_scan(workspace(spark, sf_dir).table("part"), "p_partkey", 100, 180, include_high=False)
     return R.index_union(part, F.col("p_size") == 3, F.col("p_brand") == "Brand#13").select("p_partkey", "p_size")
 
 
 @frame("SELECT l_orderkey, l_linenumber, s_name FROM lineitem LEFT JOIN supplier ON l_suppkey = s_suppkey")
 def df_salted_join(spark, sf_dir):
-    ws = Workspace.over(spark, sf_dir)
+    ws = workspace(spark, sf_dir)
     line = ws.table("lineitem").select("l_orderkey", "l_linenumber", F.col("l_suppkey").alias("k"))
     return R.salted_join(line, ws.table("supplier").select(F.col("s_suppkey").alias("k"), "s_name"), "k", 8, "left").drop("k")
 
 
 @frame("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def df_anti_join(spark, sf_dir):
-    ws = Workspace.over(spark, sf_dir)
+    ws = workspace(spark, sf_dir)
     return R.exists(ws.table("customer"), ws.table("orders"), [("c_custkey", "o_custkey")], negated=True).select("c_custkey", "c_name")
 
 
 @frame("SELECT d.doc_id, l.doc_id AS other FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id AND l.quality = 1 AND d.n_chars > 500")
 def df_left_join_residual(spark, sf_dir):
-    ws = Workspace.over(spark, sf_dir)
+    ws = workspace(spark, sf_dir)
     d, l = ws.table("documents"), ws.table("labels").withColumnRenamed("doc_id", "other")
     return R.equi_join(d, l, [("doc_id", "other")], "left", (l["quality"] == 1) & (d["n_chars"] > 500)).select("doc_id", "other")
 
 
 @frame("SELECT o_custkey, count(*) AS n, arg_max(o_totalprice, o_orderkey) AS o_totalprice, string_agg(o_orderstatus, ',' ORDER BY o_orderkey) AS states FROM orders GROUP BY o_custkey")
 def df_group_last(spark, sf_dir):
-    orders = Workspace.over(spark, sf_dir).table("orders")
+    orders = workspace(spark, sf_dir).table("orders")
     states = R.group_concat(F.col("o_orderstatus"), order=F.col("o_orderkey")).alias("states")
     return R.group_last(orders, ["o_custkey"], ["o_orderkey"], F.count(F.lit(1)).alias("n"), states, bare=("o_totalprice",))
 
 
 @frame("SELECT n_nationkey FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_suppkey < 5 EXCEPT SELECT 3")
 def df_except_chain(spark, sf_dir):
-    ws = Workspace.over(spark, sf_dir)
+    ws = workspace(spark, sf_dir)
     return R.set_operation("EXCEPT", ws.table("nation").select("n_nationkey"), ws.table("supplier").filter("s_suppkey < 5").select("s_nationkey"), spark.range(3, 4).select(F.col("id").cast("int")))
 
 
