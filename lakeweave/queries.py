@@ -21,6 +21,8 @@ from lakeweave.workspace import Workspace
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+#: Texts of the dialect, with their parameters, by query.
+TEXTS: dict[str, tuple[str, dict | list | None]] = {}
 
 
 _known: dict[str, Workspace] = {}
@@ -35,6 +37,7 @@ def workspace(spark: SparkSession, sf_dir: str) -> Workspace:
 
 def sql(name: str, text: str, oracle: str | None = "", params: dict | list | None = None) -> None:
     """Register a text of the dialect; the oracle is the same text unless given, none if None."""
+    TEXTS[name] = (text, params)
     QUERIES[name] = lambda spark, sf_dir: workspace(spark, sf_dir).sql(text, params)
     if oracle is not None:
         ORACLES[name] = oracle or text
