@@ -501,8 +501,9 @@ class Database:
         made = t["segments"][-1]
         try:
             rows = self._rows({**t, "segments": [made]})
-            n = self._validate(t, rows)
-            self._check_unique(t, rows, self._rows({**t, "segments": before}))
+            n = self._validate(t, rows, unique=True)
+            if before:
+                self._check_unique(t, rows, self._rows({**t, "segments": before}), inside=False)
         except Exception:
             self.store.delete(made["path"])
             raise
@@ -536,14 +537,20 @@ class Database:
         sql, kind = e.expr(x, scope)
         return sql.replace(f"{name(t['name'])}.", ""), kind
 
-    def _validate(self, t: dict, rows: DataFrame) -> int:
-        """NOT NULL, primary key and CHECK, in one pass; the number of rows."""
+    def _validate(self, t: dict, rows: DataFrame, unique: bool = False) -> int:
+        """NOT NULL, primary key and CHECK, in one pass; the number of rows. ``unique``: keys among the rows as well."""
         from lakeweave.functions.scalar import truth
 
         checks = [(f"NOT NULL constraint failed: {t['name']}.{c['name']}", F.col(name(c["name"])).isNull()) for c in t["columns"] if c["not_null"] or c["name"] in t["primary"]]
         for text in [*t["checks"], *[c["check"] for c in t["columns"] if c["check"]]]:
             checks.append((f"CHECK constraint failed: {text}", ~F.coalesce(F.expr(truth(self._over(t, parse_expr(text)))), F.lit(True))))
-        total, *found = rows.agg(F.count(F.lit(1)), *[F.count_if(bad).alias(f"n{i}") for i, (_, bad) in enumerate(checks)]).first()
+        tests = [F.count_if(bad).alias(f"n{i}") for i, (_, bad) in enumerate(checks)]
+        for key in ([t["primary"]] if t["primary"] else []) + self._uniques(t) if unique else []:
+            columns = [F.col(name(k)) for k in key]
+            whole = F.greatest(F.lit(False), *[c.isNull() for c in columns])
+            tests.append((F.count_if(~whole) - F.count_distinct(*columns)).alias(f"n{len(tests)}"))
+            checks.append((f"UNIQUE constraint failed: {', '.join(t['name'] + '.' + k for k in key)}", None))
+        total, *found = rows.agg(F.count(F.lit(1)), *tests).first()
         for (message, _), n in zip(checks, found, strict=True):
             if n:
                 raise ConstraintError(message)
@@ -556,12 +563,11 @@ class Database:
     def _uniques(self, t: dict) -> list[list[str]]:
         return t["unique"] + [o["unique"] for o in self.state["indexes"].values() if o["table"] == t["name"].lower() and o.get("unique")]
 
-    def _check_unique(self, t: dict, rows: DataFrame, rest: DataFrame, primary: bool = True) -> None:
-        """Raise if rows repeat a key among themselves or one of the rest; only key columns are read."""
+    def _check_unique(self, t: dict, rows: DataFrame, rest: DataFrame, primary: bool = True, inside: bool = True) -> None:
+        """Raise if rows repeat a key among themselves (unless ``inside`` is known) or one of the rest; only key columns are read."""
         for key in ([t["primary"]] if primary and t["primary"] else []) + self._uniques(t):
-            inside = self._repeats(rows, key)
             new = rows.select(*[F.col(name(k)) for k in key]).dropna()
-            if inside or rest.select(*[F.col(name(k)) for k in key]).join(new, key, "left_semi").limit(1).count():
+            if inside and self._repeats(rows, key) or rest.select(*[F.col(name(k)) for k in key]).join(new, key, "left_semi").limit(1).count():
                 raise ConstraintError(f"UNIQUE constraint failed: {', '.join(t['name'] + '.' + k for k in key)}")
 
     def _put(self, t: dict, s: ast.Insert, rows: DataFrame, params: dict, depth: int):
