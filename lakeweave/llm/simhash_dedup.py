@@ -19,6 +19,13 @@ join the forests into components.
 The trees' shape comes from a bounded hash sample of the fingerprints
 (``SAMPLE``); it steers cost only, never which links are found.
 
+``keep_one_by_jaccard`` is the pipeline's stage. Texts of 5-word Jaccard
+similarity 0.8 differ in up to a dozen or more bits and no useful radius holds
+them all, so its candidates come from the shingles themselves: in one order of
+all shingles, two such texts share one of the first fifth of theirs, which
+loses no pair. Candidates are decided on their whole shingle sets. Shingles
+frequent in a sample come late in the order, which steers cost only.
+
 Defined results: null, empty and wordless texts have fingerprint zero and are
 linked like any other; repeated rows give repeated result rows; a null doc_id
 never is a component's name unless the component has no other.
@@ -36,6 +43,9 @@ from lakeweave.llm.common import cut, pick
 
 SHINGLE = 4
 DIFFER = 4
+#: Of the exact near-duplicates: words of a shingle, and least similarity in tenths.
+JACCARD_SHINGLE = 5
+JACCARD_TENTHS = 8
 SEED = 42
 SAMPLE = 65_536
 LEAF = 3_072
@@ -47,24 +57,34 @@ BLOCK = 256
 TRIED = 6
 #: Most dropped ids that are broadcast (16 bytes each); more are joined by shuffle.
 BROADCAST_IDS = 500_000
+#: Documents sampled for frequent shingles, and most frequent shingles told apart.
+SAMPLED_DOCS = 8_192
+FREQUENT = 65_536
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1).astype(np.int64)
 
 
-def simhash(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """The unsigned fingerprint of one text; zero if it has no word."""
+def shingle_hashes(text: str | None, shingle: int, seed: int = SEED) -> np.ndarray:
+    """The hashes of a text's word shingles, in their order; the whole text's if it has fewer words."""
     words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     whole, n = b" ".join(words), len(words)
     digest = xxhash.xxh64_intdigest
     if n <= shingle:
-        return digest(whole, seed)
+        return np.array([digest(whole, seed)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
     begins = np.concatenate(([0], ends[:-1] + 1))
     spans = zip(begins[: n - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)
-    hashes = np.fromiter((digest(whole[a:b], seed) for a, b in spans), np.uint64, n - shingle + 1)
+    return np.fromiter((digest(whole[a:b], seed) for a, b in spans), np.uint64, n - shingle + 1)
+
+
+def simhash(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """The unsigned fingerprint of one text; zero if it has no word."""
+    hashes = shingle_hashes(text, shingle, seed)
+    if len(hashes) < 2:
+        return int(hashes[0]) if len(hashes) else 0
     octets = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)
     ones = np.concatenate([np.bincount(octets[:, k], minlength=256) @ _BITS for k in range(8)])
     return sum(1 << int(b) for b in np.flatnonzero(2 * ones > len(hashes)))
@@ -252,7 +272,12 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 def _classes(prints: DataFrame, differ: int, sample: int, leaf: int) -> DataFrame:
     """class_fp, class_id, component_id for every distinct fingerprint of ``prints`` (doc_id, fp)."""
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = components(links(distinct, differ, sample, leaf))
+    return _named(distinct, links(distinct, differ, sample, leaf))
+
+
+def _named(distinct: DataFrame, edges: DataFrame) -> DataFrame:
+    """class_fp, class_id, component_id for every row of ``distinct`` (fp, first_id) by its links ``edges``."""
+    roots = components(edges)
     roots = cut(roots.union(roots.select(F.col("root").alias("node"), "root").distinct()))
     named = distinct.join(roots, distinct["fp"] == roots["node"])
     named = named.groupBy("root").agg(F.min("first_id").alias("least_id")).select(F.col("root").alias("r"), "least_id")
@@ -268,14 +293,126 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, differ: int = DIFFE
     return prints.join(classes, prints["fp"] == classes["class_fp"]).drop("class_fp")
 
 
+def _frequent(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that recur in a bounded hash sample of the texts, sorted, and how often they do."""
+    step = max(1, -(-docs.count() // SAMPLED_DOCS))
+    texts = pick(docs, "text").filter(F.pmod(F.xxhash64("text"), F.lit(step)) == 0)
+
+    def run(batches):
+        for batch in batches:
+            for x in batch.column("text"):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(x.as_py(), shingle)).view(np.int64))], ["token"])
+
+    counted = texts.select(F.col("text").cast("string")).distinct().mapInArrow(run, "token long").groupBy("token").count()
+    top = counted.filter("count > 2").orderBy(F.desc("count"), "token").limit(FREQUENT).collect()
+    tokens = np.array([r[0] for r in top], np.int64).view(np.uint64)
+    order = np.argsort(tokens)
+    return tokens[order], np.array([r[1] for r in top], np.int64)[order]
+
+
+def _set_prints(docs: DataFrame, shingle: int, tenths: int) -> DataFrame:
+    """doc_id, fp (hash of the set of shingles), text_hash, n, first (its first shingles): one row per row of ``docs``."""
+    shared = docs.sparkSession.sparkContext.broadcast(_frequent(docs, shingle))
+    d = pick(docs, "doc_id", "text")
+    d = d.select(d["doc_id"].cast("long"), F.xxhash64("text").alias("text_hash"), d["text"].cast("string"))
+
+    def run(batches):
+        frequent, counts = shared.value
+        for batch in batches:
+            fps, sizes, firsts = [], [], []
+            for x in batch.column("text"):
+                tokens = np.unique(shingle_hashes(x.as_py(), shingle))
+                n = len(tokens)
+                rank = np.zeros(n, np.int64)
+                if len(frequent):
+                    at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
+                    rank = np.where(frequent[at] == tokens, counts[at], 0)
+                order = np.argsort(rank, kind="stable")  # then by hash
+                fps.append(xxhash.xxh64_intdigest(tokens.tobytes(), SEED))
+                sizes.append(n)
+                # Texts that share at least ceil(n * tenths / 10) shingles meet in one of these.
+                firsts.append(tokens[order[: n + (-n * tenths) // 10 + 1 if n else 0]].view(np.int64))
+            arrays = [batch.column("doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64)), batch.column("text_hash"), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "fp", "text_hash", "n", "first"])
+
+    return d.mapInArrow(run, "doc_id long, fp long, text_hash long, n int, first array<long>")
+
+
+def _similar(pairs: DataFrame, prints: DataFrame, docs: DataFrame, shingle: int, tenths: int) -> DataFrame:
+    """Those of ``pairs`` (a, b: set hashes) whose whole sets of shingles are similar enough."""
+    members = pairs.select(F.col("a").alias("m")).union(pairs.select(F.col("b").alias("m"))).distinct()
+    hashes = prints.join(members, prints["fp"] == members["m"], "left_semi").groupBy("fp").agg(F.min("text_hash").alias("h"))
+    hashes = cut(hashes)
+    few = hashes.count() <= BROADCAST_IDS
+    texts = pick(docs, "text").select(F.col("text").cast("string"), F.xxhash64("text").alias("text_hash"))
+    met = texts.join(F.broadcast(hashes) if few else hashes, texts["text_hash"] == hashes["h"]).select("fp", "text").dropDuplicates(["fp"])
+
+    def run(batches):
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(x.as_py(), shingle)).view(np.int64) for x in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array(sets, pa.list_(pa.int64()))], ["fp", "tokens"])
+
+    sets = cut(met.mapInArrow(run, "fp long, tokens array<long>"))
+    left, right = sets.select(F.col("fp").alias("a_fp"), F.col("tokens").alias("a_set")), sets.select(F.col("fp").alias("b_fp"), F.col("tokens").alias("b_set"))
+    joined = pairs.join(left, pairs["a"] == left["a_fp"]).join(right, pairs["b"] == right["b_fp"])
+    both = F.size(F.array_intersect("a_set", "b_set"))
+    return cut(joined.filter(both * (10 + tenths) >= (F.size("a_set") + F.size("b_set")) * tenths).select("a", "b"))
+
+
+def similar_links(prints: DataFrame, docs: DataFrame, shingle: int = JACCARD_SHINGLE, tenths: int = JACCARD_TENTHS) -> DataFrame:
+    """Links (a, b) between set hashes whose closure is that of all pairs of Jaccard similarity ``tenths`` / 10 or more.
+
+    First every set meets the least set of each of its first shingles; then all
+    pairs that share a first shingle and are not yet linked, so that a large
+    group of near copies costs no pair enumeration.
+    """
+    rows = prints.groupBy("fp").agg(F.first("n").alias("n"), F.first("first").alias("first"))
+    rows = rows.select("fp", "n", F.explode("first").alias("token"))
+    w = Window.partitionBy("token")
+    rows = rows.withColumns({"least": F.min(F.struct("fp", "n")).over(w), "most": F.max("fp").over(w)})
+    rows = cut(rows.filter("least.fp <> most").select("token", "fp", "n", F.col("least.fp").alias("least"), F.col("least.n").alias("least_n")))
+
+    def alike(n: str, m: str) -> str:
+        return f"10 * least({n}, {m}) >= {tenths} * greatest({n}, {m})"
+
+    stars = cut(rows.filter("fp <> least").filter(alike("n", "least_n")).select(F.col("least").alias("a"), F.col("fp").alias("b")).distinct())
+    stars = _similar(stars, prints, docs, shingle, tenths)
+    roots = components(stars)
+    roots = cut(roots.union(roots.select(F.col("root").alias("node"), "root").distinct()))
+    rows = rows.join(roots, rows["fp"] == roots["node"], "left").select("token", "fp", "n", F.coalesce("root", "fp").alias("group"))
+    w = Window.partitionBy("token")
+    rows = cut(rows.withColumns({"low": F.min("group").over(w), "high": F.max("group").over(w)}).filter("low <> high").select("token", "fp", "n", "group"))
+    other = rows.select(F.col("token").alias("o_token"), F.col("fp").alias("o_fp"), F.col("n").alias("o_n"), F.col("group").alias("o_group"))
+    met = rows.join(other, (F.col("token") == F.col("o_token")) & (F.col("fp") < F.col("o_fp")) & (F.col("group") != F.col("o_group")))
+    pairs = met.filter(alike("n", "o_n")).select(F.col("fp").alias("a"), F.col("o_fp").alias("b")).distinct()
+    return stars.union(_similar(cut(pairs), prints, docs, shingle, tenths))
+
+
+def near_duplicates_by_jaccard(docs: DataFrame, shingle: int = JACCARD_SHINGLE, tenths: int = JACCARD_TENTHS) -> DataFrame:
+    """doc_id, fp (hash of the set of shingles), text_hash, class_id, component_id: one row per row of ``docs``."""
+    prints = cut(_set_prints(docs, shingle, tenths))
+    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    classes = _named(distinct, similar_links(prints, docs, shingle, tenths))
+    return prints.drop("n", "first").join(classes, prints["fp"] == classes["class_fp"]).drop("class_fp")
+
+
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, differ: int = DIFFER, sample: int = SAMPLE, leaf: int = LEAF) -> DataFrame:
     """One row of each near-duplicate group, with all columns of ``docs``: the one of smallest doc_id.
 
     Rows without doc_id stand after all others of their group; ties are broken
     by the text's hash, and rows that repeat in doc_id and text are one.
     """
+    return _first_rows(docs, near_duplicates(docs, shingle, differ, sample, leaf))
+
+
+def keep_one_by_jaccard(docs: DataFrame, shingle: int = JACCARD_SHINGLE, tenths: int = JACCARD_TENTHS) -> DataFrame:
+    """As ``keep_one``, with groups of texts linked by Jaccard similarity ``tenths`` / 10 or more; texts without a word are one group."""
+    return _first_rows(docs, near_duplicates_by_jaccard(docs, shingle, tenths))
+
+
+def _first_rows(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The first row of each class of ``found``."""
     names = docs.columns
-    found = near_duplicates(docs, shingle, differ, sample, leaf)
     # A row's key is its doc_id and text hash; the first key of each group stays.
     keys = cut(found.groupBy("class_id", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("rows")))
     order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "text_hash")
