@@ -6,8 +6,8 @@ letters) reveals an entity c if the corpus says so: with N distinct texts, n_c
 of them holding c, n_t holding the term and n_tc holding it within ``NEAR``
 characters of c, the pointwise mutual information log(n_tc N / (n_t n_c)) must
 reach ``DISCLOSURE`` times the entity's information content -log(n_c / N), and
-n_tc must be at least ``TOGETHER``. Equal surroundings count once, so copies are
-no evidence. Such terms are generalised (or removed) wherever they stand.
+n_tc must be at least ``TOGETHER``. All counts are of distinct texts, so equal
+surroundings never lower a ratio and repeated rows are no evidence. Such terms are generalised (or removed) wherever they stand.
 
 The corpus is only asked about candidates: n_t is at least the number of texts
 that hold the term near any entity, and terms that fail on that bound can be
@@ -123,7 +123,6 @@ def revealing_terms(docs: DataFrame, disclosure: float = DISCLOSURE, together: i
     right = F.regexp_replace(F.substr("text", end + 1, F.lit(near)), r"\S*$", "")
     entity = F.xxhash64("s.kind", "s.value")
     around = some.select("hash", entity.alias("entity"), F.concat_ws("|", left, right).alias("near"))
-    around = around.groupBy("entity", "near").agg(F.min("hash").alias("hash"))  # equal surroundings count once
     around = cut(around.select("hash", "entity", terms(F.col("near")).alias("terms")))
     per_entity = around.groupBy("entity").agg(F.countDistinct("hash").alias("n_c")).select(F.col("entity").alias("e"), "n_c")
     pairs = around.select("hash", "entity", F.explode("terms").alias("term")).distinct()

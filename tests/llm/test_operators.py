@@ -398,3 +398,20 @@ def test_prior_from_positives_alone(spark):
     truth = {r.doc_id: r.quality for r in labels.collect()}
     good, bad = ([rows[d] for d, q in truth.items() if q == k and held_out(d, 3, 1)] for k in (1, 0))
     assert np.mean([g > b for g in good for b in bad]) > 0.97
+
+
+# Whole jobs
+
+
+def test_shared_surroundings_do_not_hide_a_term(make_docs):
+    rng = random.Random(2)
+    filler = ["river", "stone", "cloud", "garden", "window", "paper", "music", "light", "forest", "street"]
+    talk = lambda n: " ".join(rng.choice(filler) for _ in range(n))
+    block = "-- this whole block ends each and every one of these many articles as it always did, Zanthor zan@corp.org"
+    rows = [(i, talk(30)) for i in range(300)] + [(1000 + i, f"{talk(30)} {block}") for i in range(40)]
+    texts = dict(rows)
+    got = {r.doc_id: r.s for r in pii.with_spans(make_docs(*rows)).select("doc_id", pii.digest(F.col("spans")).alias("s")).collect()}
+    for i in range(1000, 1040):
+        at = texts[i].index("Zanthor")
+        assert f"term:{at}:{at + 7}" in got[i]
+    assert all(not got[i] for i in range(300))
