@@ -7,14 +7,15 @@ masked, and, if it has ``GENERAL_WORDS`` words or more, to the ``PARTS``
 generalised templates in which one of the equal parts of its further words is
 a variable field too. A template met in ``least_docs`` or more documents
 recurs: its lines are dropped everywhere but in its first document, the one of
-smallest doc_id. Lines of fewer than ``least_words`` words are left alone.
+smallest doc_id. Lines of fewer than ``least_words`` words are left alone, and
+those of ``LONG_WORDS`` words or more may be given a ``long_docs`` of their own.
 
 Texts are masked as wholes and hashed line by line once; what follows works on
 a narrow table of hashes. Every count is a map-side combined aggregate, so a
 line held by a third of all documents is not a hot group; texts are shuffled
 once, by document, to meet the list of lines they lose.
 
-Templates are told apart by a 64-bit hash.
+Templates are told apart by 63 bits of a hash; the last bit says whether a line is long.
 
 Defined results: a null text stays null; empty texts and blank lines stay as
 they are; documents are told apart by doc_id and text, so repeated rows are
@@ -35,6 +36,7 @@ PARTS = 4
 GENERAL_WORDS = 8
 LEAST_DOCS = 3
 LEAST_WORDS = 4
+LONG_WORDS = 50
 #: Most narrow rows (under 100 bytes) that are broadcast.
 BROADCAST_ROWS = 200_000
 
@@ -50,7 +52,7 @@ def masked_lines(text: Column) -> Column:
 
 
 def _keys(text: Column, least_words: int) -> Column:
-    """An array over the text's lines of the arrays of their templates' hashes; short lines have none."""
+    """An array over the text's lines of the arrays of their templates' hashes, odd for long lines; short and blank lines have none."""
 
     def hashed(x: Column) -> Column:
         words, n = x["words"], F.size(x["words"])
@@ -61,20 +63,22 @@ def _keys(text: Column, least_words: int) -> Column:
             return F.xxhash64(F.slice(words, start + 1, end - start))
 
         parts = F.when(n >= max(GENERAL_WORDS, least_words), F.array(F.xxhash64(n, F.slice(words, 1, DEPTH)), *[part(k) for k in range(PARTS)]))
-        return F.struct(F.when(n >= least_words, F.xxhash64(F.lit(0), x["line"])).alias("exact"), parts.alias("parts"))
+        exact = F.when((n >= least_words) & (x["line"] != ""), F.xxhash64(F.lit(0), x["line"]))
+        return F.struct(exact.alias("exact"), parts.alias("parts"), (n >= LONG_WORDS).cast("long").alias("long"))
 
     def keys(x: Column) -> Column:
         parts, exact = x["parts"], x["exact"]
         general = [F.xxhash64(F.lit(k + 1), *[parts[i] for i in range(PARTS + 1) if i != k + 1]) for k in range(PARTS)]
         none = F.array().cast("array<long>")
-        return F.when(parts.isNotNull(), F.array(exact, *general)).when(exact.isNotNull(), F.array(exact)).otherwise(none)
+        marked = lambda k: k.bitwiseAND(F.lit(-2)).bitwiseOR(x["long"])
+        return F.when(parts.isNotNull(), F.array(*map(marked, [exact, *general]))).when(exact.isNotNull(), F.array(marked(exact))).otherwise(none)
 
     # Each line is split once and each part hashed once.
     lines = F.transform(masked_lines(text), lambda line: F.struct(line.alias("line"), F.split(line, " ").alias("words")))
     return F.transform(F.transform(lines, hashed), keys)
 
 
-def lost_keys(docs: DataFrame, least_docs=LEAST_DOCS, least_words=LEAST_WORDS) -> DataFrame:
+def lost_keys(docs: DataFrame, least_docs=LEAST_DOCS, least_words=LEAST_WORDS, long_docs=None) -> DataFrame:
     """id, hash, lost: the templates whose lines each document loses, for documents that lose any."""
     d = pick(docs, "doc_id", "text")
     keyed = d.select(d["doc_id"].cast("long").alias("id"), F.xxhash64("text").alias("hash"), F.array_distinct(F.flatten(_keys(d["text"], least_words))).alias("keys"))
@@ -84,16 +88,17 @@ def lost_keys(docs: DataFrame, least_docs=LEAST_DOCS, least_words=LEAST_WORDS) -
     again = F.broadcast(again) if again.count() <= BROADCAST_ROWS else again
     keyed = keyed.join(again, keyed["id"].eqNullSafe(again["a_id"]) & (keyed["hash"] == again["a_hash"]), "left")
     keyed = keyed.select(F.coalesce("id", F.lit(2**63 - 1)).alias("place"), "id", "hash", F.coalesce(1 / F.col("count"), F.lit(1.0)).alias("vote"), F.explode("keys").alias("key"))
+    needed = F.when(F.col("key").bitwiseAND(F.lit(1)) == 1, least_docs if long_docs is None else long_docs).otherwise(least_docs)
     met = keyed.groupBy("key").agg(F.sum("vote").alias("n"), F.min("place").alias("first"))
-    met = cut(met.filter(F.col("n") > least_docs - 0.5).select(F.col("key").alias("r_key"), "first"))
+    met = cut(met.filter(F.col("n") > needed - 0.5).select(F.col("key").alias("r_key"), "first"))
     met = F.broadcast(met) if met.count() <= BROADCAST_ROWS else met
     joined = keyed.join(met, keyed["key"] == met["r_key"]).filter(F.col("place") != F.col("first"))
     return joined.groupBy("id", "hash").agg(F.collect_set("key").alias("lost"))
 
 
-def drop_recurring_lines(docs: DataFrame, least_docs=LEAST_DOCS, least_words=LEAST_WORDS) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, least_docs=LEAST_DOCS, least_words=LEAST_WORDS, long_docs=None) -> DataFrame:
     """``docs`` with their recurring lines dropped from text, and the added columns n_lines and n_dropped."""
-    lost = lost_keys(docs, least_docs, least_words)
+    lost = lost_keys(docs, least_docs, least_words, long_docs)
     names = docs.columns
     flat = docs.toDF(*[f"c{i}" for i in range(len(names))])
     doc_id, text = (flat[f"c{names.index(n)}"] for n in ("doc_id", "text"))
