@@ -115,7 +115,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS
     """One row per piece: doc_id, source, size, cluster, piece, words, bin, start.
 
     ``cluster`` is a column of ``docs`` (long) or else the hash of the text in
-    lower case with white space made single spaces. The result is a function of
+    lower case with white space made single spaces, where it is null or missing. The result is a function of
     the table's rows alone, not of their order or partitioning.
     """
     d = pick(docs, "doc_id", "source", "text", "cluster")

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakeweave.llm.common import cut, pick
+from lakeweave.llm.common import cut, join_small, pick
 
 SHINGLE = 4
 DIFFER = 4
@@ -375,7 +375,13 @@ def similar_links(prints: DataFrame, docs: DataFrame, shingle: int = JACCARD_SHI
     def alike(n: str, m: str) -> str:
         return f"10 * least({n}, {m}) >= {tenths} * greatest({n}, {m})"
 
-    stars = cut(rows.filter("fp <> least").filter(alike("n", "least_n")).select(F.col("least").alias("a"), F.col("fp").alias("b")).distinct())
+    def possible(shared: DataFrame) -> DataFrame:
+        # Beyond the first shingles that meet, two texts share at most what follows the first ones of the larger.
+        most = f"count + ({tenths} * greatest(n, m) + 9) div 10 - 1"
+        counted = shared.filter(alike("n", "m")).groupBy("a", "b", "n", "m").count()
+        return cut(counted.filter(f"({most}) * {10 + tenths} >= (n + m) * {tenths}").select("a", "b"))
+
+    stars = possible(rows.filter("fp <> least").select(F.col("least").alias("a"), F.col("fp").alias("b"), F.col("least_n").alias("n"), F.col("n").alias("m")))
     stars = _similar(stars, prints, docs, shingle, tenths)
     roots = components(stars)
     roots = cut(roots.union(roots.select(F.col("root").alias("node"), "root").distinct()))
@@ -384,8 +390,8 @@ def similar_links(prints: DataFrame, docs: DataFrame, shingle: int = JACCARD_SHI
     rows = cut(rows.withColumns({"low": F.min("group").over(w), "high": F.max("group").over(w)}).filter("low <> high").select("token", "fp", "n", "group"))
     other = rows.select(F.col("token").alias("o_token"), F.col("fp").alias("o_fp"), F.col("n").alias("o_n"), F.col("group").alias("o_group"))
     met = rows.join(other, (F.col("token") == F.col("o_token")) & (F.col("fp") < F.col("o_fp")) & (F.col("group") != F.col("o_group")))
-    pairs = met.filter(alike("n", "o_n")).select(F.col("fp").alias("a"), F.col("o_fp").alias("b")).distinct()
-    return stars.union(_similar(cut(pairs), prints, docs, shingle, tenths))
+    pairs = possible(met.select(F.col("fp").alias("a"), F.col("o_fp").alias("b"), "n", F.col("o_n").alias("m")))
+    return stars.union(_similar(pairs, prints, docs, shingle, tenths))
 
 
 def near_duplicates_by_jaccard(docs: DataFrame, shingle: int = JACCARD_SHINGLE, tenths: int = JACCARD_TENTHS) -> DataFrame:
@@ -396,6 +402,19 @@ def near_duplicates_by_jaccard(docs: DataFrame, shingle: int = JACCARD_SHINGLE,
     return prints.drop("n", "first").join(classes, prints["fp"] == classes["class_fp"]).drop("class_fp")
 
 
+def with_clusters(docs: DataFrame) -> DataFrame:
+    """doc_id, source, text of every row of ``docs``, and cluster: its near-duplicate class in lower case, null if that has one text only."""
+    d = pick(docs, "doc_id", "source", "text")
+    low = F.lower(d["text"].cast("string"))
+    found = near_duplicates_by_jaccard(d.select("doc_id", low.alias("text")))
+    found = cut(found.groupBy("text_hash").agg(F.min("class_id").alias("class_id")))
+    several = found.groupBy("class_id").count().filter("count > 1").select(F.col("class_id").alias("cluster"))
+    classes = cut(found.join(several, found["class_id"] == several["cluster"]).select("text_hash", "cluster"))
+    d = d.withColumn("k_hash", F.xxhash64(low))
+    joined = join_small(d, classes, d["k_hash"] == classes["text_hash"], "left", classes.count(), BROADCAST_IDS)
+    return joined.select("doc_id", "source", "text", "cluster")
+
+
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, differ: int = DIFFER, sample: int = SAMPLE, leaf: int = LEAF) -> DataFrame:
     """One row of each near-duplicate group, with all columns of ``docs``: the one of smallest doc_id.
 

@@ -415,3 +415,12 @@ def test_shared_surroundings_do_not_hide_a_term(make_docs):
         at = texts[i].index("Zanthor")
         assert f"term:{at}:{at + 7}" in got[i]
     assert all(not got[i] for i in range(300))
+
+
+def test_packing_knows_near_copies(spark, tmp_path, make_docs):
+    text = " ".join(f"word{i}" for i in range(200))
+    rows = [(1, text, "en", "a"), (2, text.replace("word7 ", "other "), "en", "b"), (3, text.replace("word90 ", "else "), "en", "c"), (4, "of its own", "en", "d"), (5, None, "en", "e")]
+    make_docs(*rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in queries.op8_conflict_best_fit(spark, str(tmp_path)).collect()}
+    assert len({got[i].cluster for i in (1, 2, 3)}) == 1 and len({got[i].bin for i in (1, 2, 3)}) == 3
+    assert got[4].cluster != got[1].cluster and got[5].bin is None
