@@ -3,15 +3,15 @@
 Protected entities are e-mail addresses, IP addresses, card and phone numbers,
 found in every whole text by pattern and check. A term (a word of three or more
 letters) reveals an entity c if the corpus says so: with N distinct texts, n_c
-of them holding c, n_t holding the term and n_tc holding it within ``NEAR``
-characters of c, the pointwise mutual information log(n_tc N / (n_t n_c)) must
+of them holding c, n_t holding the term and n_tc holding both, however far
+apart, the pointwise mutual information log(n_tc N / (n_t n_c)) must
 reach ``DISCLOSURE`` times the entity's information content -log(n_c / N), and
 n_tc must be at least ``TOGETHER``. All counts are of distinct texts, so equal
 surroundings never lower a ratio and repeated rows are no evidence. Such terms are generalised (or removed) wherever they stand.
 
 The corpus is only asked about candidates: n_t is at least the number of texts
-that hold the term near any entity, and terms that fail on that bound can be
-ruled out from the surroundings alone. Everything is DataFrame functions; texts
+that hold the term and any entity, and terms that fail on that bound can be
+ruled out from the texts with entities alone. Everything is DataFrame functions; texts
 are never shuffled unless the list of texts to change is too long to broadcast.
 
 Patterns are possessive and anchored at the start of a run, which matches what
@@ -31,7 +31,6 @@ from pyspark.sql import functions as F
 
 from lakeweave.llm.common import cut, pick
 
-NEAR = 80
 TOGETHER = 3
 DISCLOSURE = 0.9
 #: Most candidate terms or texts to change that are broadcast (some hundred bytes each).
@@ -113,17 +112,13 @@ def _texts(docs: DataFrame) -> DataFrame:
     return d.select(d["doc_id"].cast("long"), F.coalesce(d["text"].cast("string"), F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
 
 
-def revealing_terms(docs: DataFrame, disclosure: float = DISCLOSURE, together: int = TOGETHER, near: int = NEAR) -> tuple[DataFrame, DataFrame] | None:
+def revealing_terms(docs: DataFrame, disclosure: float = DISCLOSURE, together: int = TOGETHER) -> tuple[DataFrame, DataFrame] | None:
     """(term, disclosure) of revealing terms and (hash, term) of the texts that hold them; None if there is no candidate."""
     texts = _texts(docs)
-    some = texts.withColumn("s", F.explode(base_spans(F.col("text"))))
-    start, end = F.col("s.start"), F.col("s.end")
-    left = F.substr("text", F.greatest(start - near, F.lit(0)) + 1, F.least(start, F.lit(near)))
-    left = F.when(start > near, F.regexp_replace(left, r"^\S*", "")).otherwise(left)
-    right = F.regexp_replace(F.substr("text", end + 1, F.lit(near)), r"\S*$", "")
-    entity = F.xxhash64("s.kind", "s.value")
-    around = some.select("hash", entity.alias("entity"), F.concat_ws("|", left, right).alias("near"))
-    around = cut(around.select("hash", "entity", terms(F.col("near")).alias("terms")))
+    some = texts.select("hash", "text", F.explode(F.array(base_spans(F.col("text")))).alias("spans")).filter(F.size("spans") > 0).dropDuplicates(["hash"])
+    entities = F.array_distinct(F.transform("spans", lambda s: F.xxhash64(s["kind"], s["value"])))
+    around = cut(some.select("hash", entities.alias("entities"), terms(F.col("text")).alias("terms")))
+    around = around.select("hash", "terms", F.explode("entities").alias("entity"))
     per_entity = around.groupBy("entity").agg(F.countDistinct("hash").alias("n_c")).select(F.col("entity").alias("e"), "n_c")
     pairs = around.select("hash", "entity", F.explode("terms").alias("term")).distinct()
     met = pairs.groupBy("entity", "term").agg(F.countDistinct("hash").alias("n_tc")).filter(F.col("n_tc") >= together)
@@ -148,10 +143,10 @@ def revealing_terms(docs: DataFrame, disclosure: float = DISCLOSURE, together: i
     return revealing, held.join(revealing.select(F.col("term").alias("r")), F.col("term") == F.col("r"), "left_semi")
 
 
-def with_spans(docs: DataFrame, disclosure: float = DISCLOSURE, together: int = TOGETHER, near: int = NEAR) -> DataFrame:
+def with_spans(docs: DataFrame, disclosure: float = DISCLOSURE, together: int = TOGETHER) -> DataFrame:
     """doc_id, text, base (typed spans), spans (those and the revealing terms) of every row of ``docs``."""
     texts = _texts(docs)
-    found = revealing_terms(docs, disclosure, together, near)
+    found = revealing_terms(docs, disclosure, together)
     rows = texts.select("doc_id", "text", "hash", base_spans(F.col("text")).alias("base"))
     if found is None:
         return rows.select("doc_id", "text", "base", F.col("base").alias("spans"))

@@ -424,3 +424,19 @@ def test_packing_knows_near_copies(spark, tmp_path, make_docs):
     got = {r.doc_id: r for r in queries.op8_conflict_best_fit(spark, str(tmp_path)).collect()}
     assert len({got[i].cluster for i in (1, 2, 3)}) == 1 and len({got[i].bin for i in (1, 2, 3)}) == 3
     assert got[4].cluster != got[1].cluster and got[5].bin is None
+
+
+def test_terms_anywhere_in_a_text_are_found(make_docs):
+    rng = random.Random(6)
+    filler = ["river", "stone", "cloud", "garden", "window", "paper", "music", "light", "forest", "street"]
+    talk = lambda n: " ".join(rng.choice(filler) for _ in range(n))
+    rows = [(i, talk(30)) for i in range(300)]
+    rows += [(1000 + i, f"{talk(12)} Please write to zan@corp.org or ask Zanthor") for i in range(6)]
+    rows += [(2000 + i, f"Quillon {talk(60)} call 10.20.30.4 {talk(5)}") for i in range(6)]
+    texts = dict(rows)
+    got = {r.doc_id: r.s for r in pii.with_spans(make_docs(*rows)).select("doc_id", pii.digest(F.col("spans")).alias("s")).collect()}
+    for first, name in ((1000, "Zanthor"), (2000, "Quillon")):
+        for i in range(first, first + 6):
+            at = texts[i].index(name)
+            assert f"term:{at}:{at + 7}" in got[i]
+    assert all(not got[i] for i in range(300))
