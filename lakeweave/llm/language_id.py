@@ -4,11 +4,14 @@ Training counts hashed character trigrams of every labelled training text per
 language, over all of them. A document is a mixture of languages: with trigram
 counts c_b and models p_l(b) its log likelihood is sum_b c_b log sum_l pi_l
 p_l(b). Expectation-maximisation estimates the proportions pi. The language
-set is chosen by penalised likelihood: languages join in order of proportion
-while the likelihood gains more than half a log(n) for each (BIC). The
-likelihood is concave in pi, so sum_b c_b p_k(b) / p_l(b) - n bounds what any
-mixture gains over the single language l; where that is below the penalty no
-EM is run at all.
+set is chosen by penalised likelihood: from the best single language on, the
+language of steepest ascent joins while the likelihood gains more than half a
+log(n) for it (BIC), or in place of the weakest if that gains. The likelihood is concave in pi, so at any mixture m the
+largest slope, max_k sum_b c_b p_k(b) / m(b) - n, bounds what any other mixture
+gains; where that is below the penalty the set is settled without more EM.
+
+The models are dense blocks of ``BLOCK`` languages, and only ``RESIDENT``
+blocks are held by a worker at a time, so any number of languages will do.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0
 and no proportions; if nothing can be learned every text is ``und``; equal
@@ -20,19 +23,24 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeweave.llm.common import pick
+from lakeweave.llm.common import cut, pick
 
 #: Hash buckets of trigrams.
 BUCKETS = 1 << 16
 #: Added to each bucket's count, as a share of a language's mean count.
 SMOOTHING = 0.05
 EM_ROUNDS = 24
-#: Most languages a model may have: it is sent to every executor, 0.5 MB a language.
-MOST_LANGUAGES = 256
-#: Trigrams times languages of a chunk of documents worked on at once.
+#: Least mean log likelihood a trigram of a text that the pipeline keeps: what a model that knows no language gives.
+LEAST_FIT = -float(np.log(BUCKETS))
+#: Languages of a block of the model: 16 MB, sent to the executors that work with it.
+BLOCK = 64
+#: Blocks that a worker holds; further ones are read again for each chunk of documents.
+RESIDENT = 4
+#: Trigrams times languages of a block, and documents times languages, of a chunk worked on at once.
 CHUNK = 500_000
 
 _ALPHA = None
@@ -63,131 +71,204 @@ def trigrams(text: str | None) -> np.ndarray | None:
     return ((mixed * np.uint32(0x2C1B3C6D)) >> np.uint32(16)).astype(np.uint16)
 
 
-def learn(docs: DataFrame, training: Column) -> dict[str, np.ndarray]:
-    """language -> log probability of each bucket, from all rows of ``docs`` (doc_id, text, lang) that are ``training``."""
+class Model:
+    """Log probabilities of the buckets by language: ``names`` in order, and blocks of up to ``BLOCK`` of them."""
+
+    def __init__(self, names: list[str], blocks: list):
+        self.names, self.blocks = names, blocks
+        self.held: list[int] = []
+
+    def __len__(self) -> int:
+        return len(self.blocks)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        """Block ``i`` (buckets x languages) on a worker."""
+        if i >= len(self.blocks):
+            raise IndexError(i)
+        if i not in self.held:
+            self.held.append(i)
+        found = self.blocks[i].value
+        if len(self.held) > RESIDENT:
+            old = self.blocks[self.held.pop(0)]
+            if getattr(old, "_path", None) and hasattr(old, "_value"):
+                del old._value  # the worker reads it again from the executor's file when it is next asked for
+        return found
+
+
+def learn(docs: DataFrame, training: Column) -> Model:
+    """The model of every language, from all rows of ``docs`` (doc_id, text, lang) that are ``training``."""
     d = docs.filter(training & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
 
     def count(batches):
         totals: dict[str, np.ndarray] = {}
+
+        def settle():
+            for name, found in totals.items():
+                at = np.flatnonzero(found)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(found[at], pa.int64())], ["lang", "bucket", "n"])
+            totals.clear()
+
         for batch in batches:
             for text, lang in zip(batch.column("text"), batch.column("lang"), strict=True):
                 if (grams := trigrams(text.as_py())) is not None:
                     name = lang.as_py()
                     if name not in totals:
+                        if len(totals) >= BLOCK:
+                            yield from settle()
                         totals[name] = np.zeros(BUCKETS, np.int64)
                     totals[name] += np.bincount(grams, minlength=BUCKETS)
-        for name, found in totals.items():
-            at = np.flatnonzero(found)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(found[at], pa.int64())], ["lang", "bucket", "n"])
-
-    counts = d.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    # One row a language, at most BUCKETS entries each.
-    packed = counts.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("entries"))
-    packed = packed.select("lang", F.col("entries.bucket").alias("b"), F.col("entries.n").alias("n"))
-    if (languages := packed.count()) > MOST_LANGUAGES:
-        raise ValueError(f"{languages} languages; MOST_LANGUAGES is {MOST_LANGUAGES}")
-    model = {}
-    table = packed.toArrow()
-    for i in range(table.num_rows):
-        found = np.zeros(BUCKETS)
-        found[table.column("b")[i].values.to_numpy()] = table.column("n")[i].values.to_numpy()
-        found += SMOOTHING * found.sum() / BUCKETS
-        model[table.column("lang")[i].as_py()] = np.log(found / found.sum())
-    return dict(sorted(model.items()))
-
-
-def infer(documents: list[tuple[np.ndarray, np.ndarray]], logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(proportions, certainty) by document x language, for (buckets, counts) pairs.
-
-    certainty is the share of each single language's likelihood, tempered for
-    the dependence of overlapping trigrams.
-    """
+        yield from settle()
+
+    counts = cut(d.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")))
+    names = sorted(r[0] for r in counts.select("lang").distinct().collect())
+    blocks = []
+    for a in range(0, len(names), BLOCK):
+        own = names[a : a + BLOCK]
+        table = counts.filter(F.col("lang").isin(own)).toArrow()  # at most BLOCK * BUCKETS rows
+        found = np.zeros((BUCKETS, len(own)))
+        place = pa.compute.index_in(table.column("lang"), pa.array(own)).to_numpy()
+        found[table.column("bucket").to_numpy(), place] = table.column("n").to_numpy()
+        found += SMOOTHING * found.sum(0) / BUCKETS
+        blocks.append(docs.sparkSession.sparkContext.broadcast(np.log(found / found.sum(0)).astype(np.float32)))
+    return Model(names, blocks)
+
+
+def _at(blocks, buckets: np.ndarray, language: np.ndarray) -> np.ndarray:
+    """The log probability of each bucket in its own language."""
+    out, before = np.zeros(len(buckets)), 0
+    for block in blocks:
+        rows = np.flatnonzero((language >= before) & (language < before + block.shape[1]))
+        if len(rows):
+            out[rows] = block[buckets[rows], language[rows] - before]
+        before += block.shape[1]
+    return out
+
+
+def _em(ratio: np.ndarray, share: np.ndarray, counts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(proportions, log likelihood) after EM from ``share``, by document, for documents of ``sizes`` different trigrams."""
+    at = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    local, n = np.repeat(np.arange(len(sizes)), sizes), np.add.reduceat(counts, at)[:, None]
+    for _ in range(EM_ROUNDS):
+        mixed = np.einsum("ij,ij->i", ratio, share[local])
+        share = share * np.add.reduceat(ratio * (counts / mixed)[:, None], at) / n
+    return share, np.add.reduceat(counts * np.log(np.einsum("ij,ij->i", ratio, share[local])), at)
+
+
+def _infer(documents: list[tuple[np.ndarray, np.ndarray]], blocks) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(proportions, certainty) by document x language and the mixture's mean log likelihood, for (buckets, counts) pairs."""
     sizes = np.array([len(b) for b, _ in documents])
     starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
     of = np.repeat(np.arange(len(documents)), sizes)
     buckets = np.concatenate([b for b, _ in documents])
     counts = np.concatenate([c for _, c in documents]).astype(np.float64)
     n = np.add.reduceat(counts, starts)
-    log_p = logs[buckets]
-    single = np.add.reduceat(counts[:, None] * log_p, starts)
+    single = np.concatenate([np.add.reduceat(counts[:, None] * block[buckets], starts) for block in blocks], axis=1)
     best = single.argmax(1)
-    tempered = np.exp((single - single.max(1, keepdims=True)) / 3)
+    value = single.max(1)
+    tempered = np.exp((single - value[:, None]) / 3)
     certainty = tempered / tempered.sum(1, keepdims=True)
     pi = np.zeros_like(single)
     pi[np.arange(len(pi)), best] = 1.0
-    if logs.shape[1] == 1:
-        return pi, certainty
+    if single.shape[1] == 1:
+        return pi, certainty, value / n
     penalty = 0.5 * np.log(np.maximum(n, 2))
-    log_ratio = log_p - log_p[np.arange(len(of)), best[of]][:, None]
-    gain = np.add.reduceat(counts[:, None] * np.exp(log_ratio), starts) - n[:, None]
-    open_ = np.flatnonzero(gain.max(1) > penalty)
-    if not len(open_):
-        return pi, certainty
-    # From here on only documents that a mixture may describe better.
-    rows = np.isin(of, open_)
-    of2 = np.searchsorted(open_, of[rows])
-    at = np.concatenate(([0], np.cumsum(sizes[open_])[:-1]))
-    ratio, c, total = np.exp(log_ratio[rows]), counts[rows], n[open_]
-
-    def fit(allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        share = allowed / allowed.sum(1, keepdims=True)
-        for _ in range(EM_ROUNDS):
-            mixed = np.einsum("ij,ij->i", ratio, share[of2])
-            share = share * np.add.reduceat(ratio * (c / mixed)[:, None], at) / total[:, None]
-        mixed = np.einsum("ij,ij->i", ratio, share[of2])
-        return share, np.add.reduceat(c * np.log(mixed), at)
-
-    everything, _ = fit(np.ones((len(open_), logs.shape[1])))
-    order = np.argsort(-everything, axis=1, kind="stable")
-    chosen, value = pi[open_], np.zeros(len(open_))
-    alive = np.ones(len(open_), bool)
-    for k in range(2, logs.shape[1] + 1):
-        allowed = np.zeros_like(everything)
-        np.put_along_axis(allowed, order[:, :k], 1.0, axis=1)
-        share, likelihood = fit(allowed)
-        better = alive & (likelihood - (k - 1) * penalty[open_] > value)
-        chosen[better], value[better] = share[better], (likelihood - (k - 1) * penalty[open_])[better]
-        alive = better
-        if not alive.any():
+    gained = np.zeros(len(n))
+    # Documents whose set may grow still, their trigrams, and these trigrams' probabilities against the best language's.
+    alive, sets, share = np.arange(len(n)), best[:, None], np.ones((len(n), 1))
+    own = _at(blocks, buckets, best[of])
+    ratio = np.ones((len(of), 1))
+    while True:
+        at = np.concatenate(([0], np.cumsum(sizes[alive])[:-1]))
+        local = np.repeat(np.arange(len(alive)), sizes[alive])
+        pull = counts / np.einsum("ij,ij->i", ratio, share[local])
+        slope = np.concatenate([np.add.reduceat(pull[:, None] * np.exp(block[buckets] - own[:, None]), at) for block in blocks], axis=1) - n[alive][:, None]
+        np.put_along_axis(slope, sets, -np.inf, axis=1)
+        next_ = slope.argmax(1)
+        grows = slope.max(1) > penalty[alive]
+        if not grows.any():
             break
-    pi[open_] = chosen
-    return pi, certainty
+        rows = grows[local]
+        buckets, counts, own, ratio = buckets[rows], counts[rows], own[rows], ratio[rows]
+        alive, sets, share, next_ = alive[grows], sets[grows], share[grows], next_[grows]
+        local = np.repeat(np.arange(len(alive)), sizes[alive])
+        ratio = np.concatenate((ratio, np.exp(_at(blocks, buckets, next_[local]) - own)[:, None]), axis=1)
+        sets = np.concatenate((sets, next_[:, None]), axis=1)
+        k = sets.shape[1]
+        share = np.concatenate((share * (1 - 1 / k), np.full((len(alive), 1), 1 / k)), axis=1)
+        share, gain = _em(ratio, share, counts, sizes[alive])
+        better = gain - gained[alive] > penalty[alive]
+        if k > 2 and not better.all():
+            # Not worth a language more, but perhaps one instead of the weakest, whose share then stays zero.
+            rest = np.flatnonzero(~better)
+            other = share[rest]
+            weakest = np.where(other[:, :-1] > 0, other[:, :-1], np.inf).argmin(1)
+            other[np.arange(len(rest)), weakest] = 0
+            rows = ~better[local]
+            other, instead = _em(ratio[rows], other / other.sum(1, keepdims=True), counts[rows], sizes[alive[rest]])
+            swapped = instead > gained[alive[rest]] + 0.01
+            share[rest[swapped]], gain[rest[swapped]], better[rest[swapped]] = other[swapped], instead[swapped], True
+        rows = better[local]
+        buckets, counts, own, ratio = buckets[rows], counts[rows], own[rows], ratio[rows]
+        alive, sets, share = alive[better], sets[better], share[better]
+        if not len(alive):
+            break
+        gained[alive] = gain[better]
+        pi[alive] = 0
+        pi[alive[:, None], sets] = share
+        if k == single.shape[1]:
+            break
+    return pi, certainty, (value + gained) / n
 
 
-def identify(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
+def infer(documents: list[tuple[np.ndarray, np.ndarray]], logs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(proportions, certainty) by document x language, for (buckets, counts) pairs and log probabilities (buckets x languages).
+
+    certainty is the share of each single language's likelihood, tempered for
+    the dependence of overlapping trigrams.
+    """
+    return _infer(documents, [logs])[:2]
+
+
+def _inferred(texts, model: Model):
+    """Yield (indexes, proportions, certainty, fit) for chunks of the texts that have a letter."""
+    chunk, where, size = [], [], 0
+    most = CHUNK // max(1, min(BLOCK, len(model.names)))
+    for i, text in enumerate(texts):
+        if not model.names or (grams := trigrams(text.as_py())) is None:
+            continue
+        pair = np.unique(grams, return_counts=True)
+        if chunk and (size + len(pair[0]) > most or len(chunk) * len(model.names) > CHUNK):
+            yield where, *_infer(chunk, model)
+            chunk, where, size = [], [], 0
+        chunk.append(pair)
+        where.append(i)
+        size += len(pair[0])
+    if chunk:
+        yield where, *_infer(chunk, model)
+
+
+def _score(pi: np.ndarray, certainty: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(language, score) of each document: the largest proportion, or for a single language its certainty."""
+    top = pi.argmax(1)
+    rows = np.arange(len(pi))
+    most = pi[rows, top]
+    return top, np.clip(np.where(most >= 1, certainty[rows, top], most), 0.0, 1.0)
+
+
+def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score, languages (name -> proportion), for every row of ``docs`` (doc_id, text)."""
-    names = list(model)
-    shared = docs.sparkSession.sparkContext.broadcast(np.stack([model[n] for n in names], axis=1).astype(np.float32) if names else None)
+    names = model.names
 
     def run(batches):
-        logs = shared.value
         for batch in batches:
             m = batch.num_rows
             pred, score, found = ["und"] * m, np.zeros(m), [[] for _ in range(m)]
-            chunk, where, size = [], [], 0
-
-            def settle():
-                if not chunk:
-                    return
-                pi, certainty = infer(chunk, logs)
+            for where, pi, certainty, _ in _inferred(batch.column("text"), model):
+                top, scores = _score(pi, certainty)
+                score[where] = scores
                 for j, i in enumerate(where):
-                    top = int(pi[j].argmax())
-                    pred[i], score[i] = names[top], min(1.0, max(0.0, pi[j, top] * certainty[j, top])) if pi[j, top] >= 1 else min(1.0, pi[j, top])
+                    pred[i] = names[top[j]]
                     found[i] = [(names[k], float(pi[j, k])) for k in np.flatnonzero(pi[j] > 0)]
-                chunk.clear()
-                where.clear()
-
-            for i, text in enumerate(batch.column("text")):
-                if logs is None or (grams := trigrams(text.as_py())) is None:
-                    continue
-                pair = np.unique(grams, return_counts=True)
-                chunk.append(pair)
-                where.append(i)
-                size += len(pair[0])
-                if size * len(names) > CHUNK:
-                    settle()
-                    size = 0
-            settle()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(pred), pa.array(score), pa.array(found, pa.map_(pa.string(), pa.float64()))], ["doc_id", "lang_pred", "score", "languages"])
 
     d = pick(docs, "doc_id", "text")
@@ -207,30 +288,20 @@ def identify_languages(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", held_out(5, 0).alias("held_out"), "lang_pred", "score", "languages")
 
 
-def keep_identified(docs: DataFrame, least_score: float = 0.0) -> DataFrame:
-    """Rows of ``docs``, all columns, whose language is identified: not ``und`` and of score over ``least_score``."""
+def keep_identified(docs: DataFrame, least_score: float = 0.0, least_fit: float = LEAST_FIT) -> DataFrame:
+    """Rows of ``docs``, all columns, whose language is identified: not ``und``, of score over ``least_score``, and
+    whose best mixture has a mean log likelihood of ``least_fit`` or more a trigram."""
     d = pick(docs, "doc_id", "text", "lang")
     model = learn(d, ~held_out(5, 0))
-    names = list(model)
-    shared = docs.sparkSession.sparkContext.broadcast(np.stack([model[n] for n in names], axis=1).astype(np.float32) if names else None)
-    text_at = docs.columns.index("text")
+    names = docs.columns
+    text_at = names.index("text")
+    flat = docs.toDF(*[f"c{i}" for i in range(len(names))])
 
     def run(batches):
-        logs = shared.value
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
-            chunk, where, size = [], [], 0
-            for i, text in enumerate([*batch.column(text_at), None]):
-                last = i == batch.num_rows
-                grams = None if last or logs is None else trigrams(text.as_py())
-                if grams is not None:
-                    chunk.append(np.unique(grams, return_counts=True))
-                    where.append(i)
-                    size += len(chunk[-1][0])
-                if chunk and (last or size * len(names) > CHUNK):
-                    pi, certainty = infer(chunk, logs)
-                    keep[where] = pi.max(1) * np.where(pi.max(1) >= 1, certainty.max(1), 1) > least_score
-                    chunk, where, size = [], [], 0
+            for where, pi, certainty, fit in _inferred(batch.column(text_at), model):
+                keep[where] = (_score(pi, certainty)[1] > least_score) & (fit >= least_fit)
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return flat.mapInArrow(run, flat.schema).toDF(*names)
