@@ -16,12 +16,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named by spark.checkpoint.dir; choose one only where that is unset (tests)."""
+    """Use the folder named by spark.checkpoint.dir; choose one only where that is unset and Spark is one local process (tests)."""
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
-    spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="lakeweave-checkpoint-"))
+    if not named:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="lakeweave-checkpoint-")
+    spark.sparkContext.setCheckpointDir(named)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -39,6 +44,25 @@ def join_small(left: DataFrame, right: DataFrame, on, how: str, rows: int, most:
     return left.join(F.broadcast(right) if rows <= most else right, on, how)
 
 
+def join_keyed(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str, rows: str, share: int = 1_000) -> DataFrame:
+    """Join on equal keys, ``right`` (one row a key) having the count of the key's rows in ``left`` in its column ``rows``.
+
+    Keys with over 1 / ``share`` of those rows, of which there are fewer than
+    ``share``, are met by broadcast, so that no hot key lands in one task; all
+    others by a plain join. ``right`` should be a materialised table; its
+    column ``rows`` is dropped.
+    """
+    total = right.agg(F.coalesce(F.sum(rows), F.lit(0))).first()[0]
+    hot = right.filter(F.col(rows) * share > total)
+    if not total or not (found := [r[0] for r in hot.select(right_key).collect()]):
+        return left.join(right.drop(rows), left[left_key] == right[right_key], how)
+    is_hot = F.coalesce(left[left_key].isin(found), F.lit(False))
+    a, b = left.filter(is_hot), left.filter(~is_hot)
+    a = a.join(F.broadcast(hot.drop(rows)), F.col(left_key) == F.col(right_key), how)
+    b = b.join(right.filter(F.col(rows) * share <= total).drop(rows), F.col(left_key) == F.col(right_key), how)
+    return a.union(b)
+
+
 def n_words(text: Column) -> Column:
     """Words of a whole text, as a long; null texts have none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -5,7 +5,9 @@ of keys gives quantile boundaries of ``ranges_per_shard`` * shards ranges;
 records are range-partitioned by binary search in them. Ranges that come out
 overfull are subdivided: their heavy keys (a text with very many copies)
 become units of their own, and any unit is cut into slices by a hash of the
-document so that numbering never meets an unbounded group in one task.
+document so that numbering never meets an unbounded group in one task. A heavy
+key's slices also hash a number of the row, staged with it, so that even rows
+equal in every column part.
 
 Shards are filled by exact unit loads: heavy units go to the lightest shard
 first, the other ranges then fill the shards' remaining capacity in key order,
@@ -87,7 +89,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = SHARDS, ranges_per_shard: int
     spark = docs.sparkSession
     d = pick(docs, "doc_id", "text")
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
-    rows = cut(d.select(d["doc_id"].cast("long"), size.alias("size"), F.crc32("text").alias("text_crc32"), F.xxhash64("text").alias("key"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("mark")))
+    rows = cut(d.select(d["doc_id"].cast("long"), size.alias("size"), F.crc32("text").alias("text_crc32"), F.xxhash64("text").alias("key"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("mark"), F.monotonically_increasing_id().alias("row")))
     count, total = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     wanted = shards * ranges_per_shard
     schema = "doc_id long, size long, text_crc32 long, key long, shard int, slot long"
@@ -128,7 +130,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = SHARDS, ranges_per_shard: int
     heavy_plan = plan.filter("p_key IS NOT NULL").select("p_key", F.col("unit").alias("h_unit"), F.col("slices").alias("h_slices"))
     rows = placed.join(F.broadcast(light_plan), placed["range"] == light_plan["p_range"], "left")
     rows = rows.join(F.broadcast(heavy_plan), rows["key"] == heavy_plan["p_key"], "left")
-    rows = rows.withColumn("unit", F.coalesce("h_unit", "l_unit")).withColumn("slice", F.pmod("mark", F.coalesce("h_slices", "l_slices")).cast("int"))
+    rows = rows.withColumn("unit", F.coalesce("h_unit", "l_unit")).withColumn("slice", F.when(F.col("h_slices").isNotNull(), F.pmod(F.xxhash64("mark", "row"), F.col("h_slices"))).otherwise(F.pmod("mark", F.col("l_slices"))).cast("int"))
     rows = rows.select("doc_id", "size", "text_crc32", "key", "unit", "slice")
     slices = rows.groupBy("unit", "slice").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("bytes")).collect()  # some `wanted` slices
     items = {}
