@@ -16,7 +16,8 @@ like a document.
 Defined results: null, empty and wordless texts have size 0 and are returned
 with bin and start null (they take no room); a null source is a source of its
 own; copies of a row are packed apart, as they are of one cluster; an empty
-table gives an empty result; extra columns are ignored.
+table gives an empty result; extra columns are ignored, one called ``cluster``
+too unless it is named as such.
 """
 
 from __future__ import annotations
@@ -111,21 +112,24 @@ def pack_shard(rows: list[tuple], capacity: int = CAPACITY) -> list[tuple]:
     return out
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS, cluster: str | None = None) -> DataFrame:
     """One row per piece: doc_id, source, size, cluster, piece, words, bin, start.
 
-    ``cluster`` is a column of ``docs`` (long) or else the hash of the text in
-    lower case with white space made single spaces, where it is null or missing. The result is a function of
-    the table's rows alone, not of their order or partitioning.
+    ``cluster`` names a column of ``docs`` (long) with duplicate clusters; where it is null, or none is named,
+    the cluster is the hash of the text in lower case with white space made single spaces. The result is a
+    function of the table's rows alone, not of their order or partitioning.
     """
-    d = pick(docs, "doc_id", "source", "text", "cluster")
-    plain = F.regexp_replace(F.lower(F.trim(d["text"])), r"[\x20\x09-\x0D]+", " ")
+    d = pick(docs, "doc_id", "source", "text", *([cluster] if cluster else []))
+    plain = F.xxhash64(F.regexp_replace(F.lower(F.trim(d["text"])), r"[\x20\x09-\x0D]+", " "))
     d = d.select(
         d["doc_id"].cast("long"), d["source"].cast("string"), n_words(d["text"]).alias("size"),
-        F.coalesce(d["cluster"].cast("long"), F.xxhash64(plain)).alias("cluster"),
+        (F.coalesce(d[cluster].cast("long"), plain) if cluster else plain).alias("cluster"),
     )
+    # Rows equal in all of this are numbered, so that a hot row's copies go to shards of their own.
+    d = d.groupBy("doc_id", "source", "size", "cluster").count()
+    d = d.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("count")))).drop("count")
     shards = max(1, -(-docs.count() // shard_rows))
-    shard = F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(shards)).cast("int")
+    shard = F.pmod(F.xxhash64("doc_id", "cluster", "copy"), F.lit(shards)).cast("int")
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([(c, "ascending") for c in ("cluster", "doc_id", "source", "size")])
@@ -139,4 +143,4 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS
         arrays += [pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.int64()), pa.array(names, pa.string()), pa.array([g[4] for g in got], pa.int64())]
         return pa.Table.from_arrays(arrays, ["doc_id", "source", "size", "cluster", "piece", "words", "bin", "start"])
 
-    return d.withColumn("shard", shard).groupBy("shard").applyInArrow(run, SCHEMA)
+    return d.withColumn("shard", shard).drop("copy").groupBy("shard").applyInArrow(run, SCHEMA)

@@ -63,7 +63,7 @@ def op7_log_template_tree(spark, sf_dir):
 
 def op8_conflict_best_fit(spark, sf_dir):
     """Every document's pieces, their bins and places."""
-    return packing.pack(simhash_dedup.with_clusters(read_table(spark, sf_dir, "documents")))
+    return packing.pack(simhash_dedup.with_clusters(read_table(spark, sf_dir, "documents")), cluster="cluster")
 
 
 def op9_vantage_point_simhash(spark, sf_dir):

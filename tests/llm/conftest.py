@@ -39,7 +39,7 @@ def clashing(odd_docs):
     """The same with extra columns whose names clash with those the operators make."""
     from pyspark.sql import functions as F
 
-    return odd_docs.select("*", *[F.lit(i).alias(n) for i, n in enumerate(("size", "Text2", "hash", "fp", "key", "shard", "score", "bucket", "draw", "copies", "level", "TEXT_", "c0", "n_lines2"))])
+    return odd_docs.select("*", *[F.lit(i).alias(n) for i, n in enumerate(("size", "Text2", "hash", "fp", "key", "shard", "score", "bucket", "draw", "copies", "level", "TEXT_", "c0", "n_lines", "N_dropped", "cluster", "TEXT", "Doc_ID"))])
 
 
 @pytest.fixture(scope="session")

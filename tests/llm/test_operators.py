@@ -440,3 +440,109 @@ def test_terms_anywhere_in_a_text_are_found(make_docs):
             at = texts[i].index(name)
             assert f"term:{at}:{at + 7}" in got[i]
     assert all(not got[i] for i in range(300))
+
+
+def test_four_hundred_languages(spark):
+    rng = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = []
+    for lang in range(400):
+        words = ["".join(rng.choice(letters) for _ in range(6)) for _ in range(12)]
+        rows += [(lang * 6 + i, " ".join(rng.choice(words) for _ in range(30)), f"l{lang:03d}") for i in range(6)]
+    got = {r.doc_id: r.lang_pred for r in language_id.identify_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    known = {r[2] for r in rows if not held_out(r[0], 5, 0)}
+    assert len(known) > 256 and all(got[i] == lang for i, _, lang in rows if lang in known)
+
+
+def test_languages_by_force(spark, sample):
+    """Every document's language set and proportions by an EM over all languages and all sets in order of proportion."""
+    model = language_id.learn(sample, ~language_id.held_out(5, 0))
+    logs = np.concatenate([model[i] for i in range(len(model))], axis=1).astype(float)
+    got = {r.doc_id: r for r in language_id.identify(sample, model).collect()}
+    for r in sample.filter("doc_id % 3 = 0").collect():
+        at, c = np.unique(language_id.trigrams(r.text), return_counts=True)
+        p = np.exp(logs[at])
+
+        def best(allowed, p=p, c=c):
+            share = np.zeros(p.shape[1])
+            share[list(allowed)] = 1 / len(allowed)
+            for _ in range(200):
+                share = share * (p * (c / (p @ share))[:, None]).sum(0) / c.sum()
+            return (c * np.log(p @ share)).sum(), share
+
+        sets = [s for k in range(1, 5) for s in __import__("itertools").combinations(range(p.shape[1]), k)]
+        value = {s: best(s)[0] - 0.5 * (len(s) - 1) * np.log(max(2, c.sum())) for s in sets}
+        chosen = max(value, key=value.get)
+        found = tuple(sorted(model.names.index(x) for x in got[r.doc_id].languages))
+        # Greedy growth may end at another set only if that is as good but for EM's tolerance.
+        assert found == chosen or value[chosen] - value[found] < 1.0
+        if found == chosen:
+            share = best(chosen)[1]
+            assert all(abs(got[r.doc_id].languages[model.names[k]] - share[k]) < 0.05 for k in chosen)
+
+
+def test_identical_rows_are_spread(make_docs, spark):
+    docs = spark.range(20_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("one and the same text").alias("text"))
+    loads = Counter(r.shard for r in sharding.shard_by_bytes(docs).collect())
+    assert len(loads) == 8 and max(loads.values()) < 1.02 * 20_000 / 8
+    rows = packing.pack(docs.withColumn("source", F.lit("s"))).collect()
+    shards = Counter(r.bin.split("-")[0] for r in rows)
+    assert len(rows) == 20_000 and len(shards) > 1 and len({r.bin for r in rows}) == 20_000
+
+
+def test_spans_in_their_thousands(make_docs):
+    rng = random.Random(12)
+    pieces = ["user{}@corp.example.org", "10.{}.3.4", "4111 1111 1111 1111", "+44 20 7946 {}", "word{}", "plain words"]
+    text = " ".join(rng.choice(pieces).format(rng.randint(0, 255)) for _ in range(30_000))
+    rows = pii.with_spans(make_docs((1, text))).select(pii.digest(F.col("base")).alias("b")).collect()
+    assert rows[0].b == spans_by_force(text)
+
+
+def terms_by_force(texts):
+    """(doc_id, start, end) of the revealing terms outside typed spans, by counting over all distinct texts."""
+    spans = {t: [(int(a), int(b), k) for k, a, b in (x.split(":") for x in spans_by_force(t).split(","))] if spans_by_force(t) else [] for t in set(texts.values())}
+    word = re.compile(r"(?<![A-Za-z0-9_@.%+-])[A-Za-z]{3,}(?![A-Za-z0-9_@]|\.[A-Za-z0-9])")
+    words = {t: {w.lower() for w in word.findall(t)} for t in spans}
+    held = {}
+    for t, found in spans.items():
+        for a, b, k in found:
+            held.setdefault((k, t[a:b]), set()).add(t)
+    terms = set()
+    for with_entity in held.values():
+        for w in set.union(*(words[t] for t in with_entity)):
+            with_term = {t for t in words if w in words[t]}
+            both = len(with_term & with_entity)
+            if both >= 3 and both / len(with_term) >= (len(with_entity) / len(spans)) ** (1 - 0.9):
+                terms.add(w)
+    return {(i, m.start(), m.end()) for i, t in texts.items() for m in word.finditer(t) if m[0].lower() in terms and not any(a < m.end() and m.start() < b for a, b, _ in spans[t])}
+
+
+def test_terms_by_force(make_docs):
+    rng = random.Random(13)
+    filler = ["river", "stone", "cloud", "garden", "window", "paper", "music", "light", "forest", "street"]
+    people = [(f"Name{'abcdefgh'[i]}{'abcdefgh'[i]}", f"n{i}@corp.org") for i in range(8)]
+    rows = []
+    for i in range(500):
+        words = [rng.choice(filler) for _ in range(20)]
+        for name, mail in rng.sample(people, rng.choice([0, 0, 1, 2])):
+            words.insert(rng.randrange(len(words)), mail if rng.random() < 0.93 else "10.1.2.3")
+            words.insert(rng.randrange(len(words)), name if rng.random() < 0.95 else rng.choice(people)[0])
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, rows[3][1]) for i in range(40)]
+    got = {(r.doc_id, s.start, s.end) for r in pii.with_spans(make_docs(*rows)).collect() for s in r.spans if s.kind == "term"}
+    assert got == terms_by_force(dict(rows)) and got
+
+
+def test_sanitised_by_force(make_docs):
+    rng = random.Random(14)
+    pieces = ["a@b.co", "1.2.3.4", "+1 (202) 555-0100", "4111 1111 1111 1111", "é😀 text", "\n", "+4111.1111.1111.1111"]
+    texts = {i: " ".join(rng.choice(pieces) for _ in range(rng.randint(0, 12))) for i in range(150)}
+    texts[1000] = "x" * 9000 + " a@b.co " + "é😀" * 5000 + " 1.2.3.4 tail"
+    for r in pii.sanitise(make_docs(*texts.items())).collect():
+        out, at = [], 0
+        text = texts[r.doc_id]
+        for k, a, b in sorted((x.split(":") for x in spans_by_force(text).split(",") if x), key=lambda x: (int(x[1]), list(PATTERNS).index(x[0]))):
+            if int(a) >= at:
+                out += [text[at : int(a)], f"<{k.upper()}>"]
+            at = max(at, int(b))
+        assert r.text == "".join(out) + text[at:]
