@@ -12,7 +12,8 @@ differ in at most k bits differ in at most r = k // parts bits on one of the
 parts, so the union over the parts' trees loses no pair, while a smaller r
 keeps the shells thin. Leaves compare the full 64 bits exactly. Inside a leaf
 a vantage point with a dense ball resolves the ball against its shell only,
-so a large group of near copies costs no pair enumeration; the leaf emits a
+so a large group of near copies costs no pair enumeration; a leaf that is
+still overfull is dealt out by equal parts of the bits. The leaf emits a
 spanning forest of its links, and alternating large-star / small-star rounds
 join the forests into components.
 
@@ -21,10 +22,8 @@ The trees' shape comes from a bounded hash sample of the fingerprints
 
 ``keep_one_by_jaccard`` is the pipeline's stage. Texts of 5-word Jaccard
 similarity 0.8 differ in up to a dozen or more bits and no useful radius holds
-them all, so its candidates come from the shingles themselves: in one order of
-all shingles, two such texts share one of the first fifth of theirs, which
-loses no pair. Candidates are decided on their whole shingle sets. Shingles
-frequent in a sample come late in the order, which steers cost only.
+them all, so its links come from the shingle sets themselves, exactly (module
+``shingle_sets``).
 
 Defined results: null, empty and wordless texts have fingerprint zero and are
 linked like any other; repeated rows give repeated result rows; a null doc_id
@@ -36,16 +35,14 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeweave.llm.common import cut, join_small, pick
+from lakeweave.llm import shingle_sets
+from lakeweave.llm.common import cut, join_keyed, join_small, pick
 
 SHINGLE = 4
 DIFFER = 4
-#: Of the exact near-duplicates: words of a shingle, and least similarity in tenths.
-JACCARD_SHINGLE = 5
-JACCARD_TENTHS = 8
 SEED = 42
 SAMPLE = 65_536
 LEAF = 3_072
@@ -53,13 +50,13 @@ LEAF = 3_072
 LEAST_SAMPLED = 24
 #: Rows of a leaf compared at once.
 BLOCK = 256
+#: Columns of such a comparison, and fingerprints of a leaf beyond which it is dealt out again by equal parts.
+TILE = 65_536
+OVERFULL = 8_192
 #: Vantage points tried at a node of a tree.
 TRIED = 6
 #: Most dropped ids that are broadcast (16 bytes each); more are joined by shuffle.
 BROADCAST_IDS = 500_000
-#: Documents sampled for frequent shingles, and most frequent shingles told apart.
-SAMPLED_DOCS = 8_192
-FREQUENT = 65_536
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1).astype(np.int64)
@@ -198,17 +195,32 @@ def leaf_links(fps: np.ndarray, differ: int) -> tuple[np.ndarray, np.ndarray]:
                 unite(np.append(near, x))
         left = left[d > differ]
         tries = 0
-    rest = fps[left]
-    for a in range(0, len(left), BLOCK):
-        close = np.bitwise_count(rest[a : a + BLOCK, None] ^ rest[None, a:]) <= differ
-        rows, cols = np.nonzero(close)
-        keep = cols > rows
-        rows, cols = left[a + rows[keep]], left[a + cols[keep]]
-        while len(rows):  # links inside one group drop out as groups grow
-            apart = label[rows] != label[cols]
-            rows, cols = rows[apart], cols[apart]
-            if len(rows):
-                unite(np.append(cols[rows == rows[0]], rows[0]))
+
+    def compare(members: np.ndarray) -> None:
+        rest = fps[members]
+        for a in range(0, len(members), BLOCK):
+            for b in range(a, len(members), TILE):
+                close = np.bitwise_count(rest[a : a + BLOCK, None] ^ rest[None, b : b + TILE]) <= differ
+                rows, cols = np.nonzero(close)
+                keep = cols + b > rows + a
+                rows, cols = members[a + rows[keep]], members[b + cols[keep]]
+                while len(rows):  # links inside one group drop out as groups grow
+                    apart = label[rows] != label[cols]
+                    rows, cols = rows[apart], cols[apart]
+                    if len(rows):
+                        unite(np.append(cols[rows == rows[0]], rows[0]))
+
+    if len(left) <= OVERFULL:
+        compare(left)
+    else:  # an overfull leaf is dealt out again: of differ + 1 parts of the bits, linked fingerprints share one
+        edges = [round(64 * i / (differ + 1)) for i in range(differ + 2)]
+        for a, b in zip(edges, edges[1:], strict=False):
+            part = _project(fps[left], (a, b - a))
+            order = np.argsort(part, kind="stable")
+            bounds = np.flatnonzero(np.diff(part[order])) + 1
+            for members in np.split(left[order], bounds):
+                if len(members) > 1:
+                    compare(members)
     linked = np.flatnonzero(label != np.arange(n))
     return linked, label[linked]
 
@@ -242,37 +254,29 @@ def links(distinct: DataFrame, differ: int = DIFFER, sample: int = SAMPLE, leaf:
     return cells.groupBy("cell").applyInArrow(resolve, "a long, b long").distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, root for every node of the undirected ``edges`` (a, b); root is the least node of its component.
 
-    Alternating large-star and small-star rounds; every round is one table in
-    the checkpoint folder. The neighbourhood's least node is a map-side
-    combined aggregate, never a collected list.
+    Alternating large-star and small-star rounds until nothing changes; every
+    round is one table in the checkpoint folder. The neighbourhood's least node
+    is a map-side combined aggregate, never a collected list, and hubs meet
+    theirs by broadcast.
     """
     edges = cut(edges.filter("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct())
     seen = None
-    for _ in range(most_rounds):
+    while True:
         both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"))
-        large = both.join(least, both["u"] == least["w"]).filter("v > u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).filter("lo <> hi").distinct()
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("rows")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"), "rows"))
+        large = join_keyed(both, least, "u", "w", "inner", "rows").filter("v > u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).filter("lo <> hi").distinct()
         large = cut(large)
-        least = large.groupBy("hi").agg(F.min("lo").alias("m")).select(F.col("hi").alias("w"), "m")
-        small = large.join(least, large["hi"] == least["w"])
+        least = cut(large.groupBy("hi").agg(F.min("lo").alias("m"), F.count(F.lit(1)).alias("rows")).select(F.col("hi").alias("w"), "m", "rows"))
+        small = join_keyed(large, least, "hi", "w", "inner", "rows")
         small = small.select(F.col("m").alias("lo"), F.explode(F.array("lo", "hi")).alias("hi")).filter("lo <> hi").distinct()
         edges = cut(small)
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first()
         if state == seen:
-            break
+            return edges.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
         seen = state
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    return edges.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
-
-
-def _classes(prints: DataFrame, differ: int, sample: int, leaf: int) -> DataFrame:
-    """class_fp, class_id, component_id for every distinct fingerprint of ``prints`` (doc_id, fp)."""
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    return _named(distinct, links(distinct, differ, sample, leaf))
 
 
 def _named(distinct: DataFrame, edges: DataFrame) -> DataFrame:
@@ -286,133 +290,36 @@ def _named(distinct: DataFrame, edges: DataFrame) -> DataFrame:
     return joined.select(F.col("fp").alias("class_fp"), F.coalesce("root", "fp").alias("class_id"), F.coalesce("least_id", "first_id").alias("component_id"))
 
 
+def _classed(prints: DataFrame, distinct: DataFrame, edges: DataFrame) -> DataFrame:
+    """``prints`` with class_id and component_id; fingerprints of very many rows are met by broadcast."""
+    classes = cut(_named(distinct, edges).join(distinct.select(F.col("fp").alias("d_fp"), "rows"), F.col("class_fp") == F.col("d_fp")).drop("d_fp"))
+    return join_keyed(prints, classes, "fp", "class_fp", "inner", "rows").drop("class_fp")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, differ: int = DIFFER, sample: int = SAMPLE, leaf: int = LEAF) -> DataFrame:
     """doc_id, fp, text_hash, class_id (a fingerprint), component_id: one row per row of ``docs``."""
     prints = cut(fingerprints(docs, shingle))
-    classes = _classes(prints, differ, sample, leaf)
-    return prints.join(classes, prints["fp"] == classes["class_fp"]).drop("class_fp")
-
-
-def _frequent(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """The shingles that recur in a bounded hash sample of the texts, sorted, and how often they do."""
-    step = max(1, -(-docs.count() // SAMPLED_DOCS))
-    texts = pick(docs, "text").filter(F.pmod(F.xxhash64("text"), F.lit(step)) == 0)
-
-    def run(batches):
-        for batch in batches:
-            for x in batch.column("text"):
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(x.as_py(), shingle)).view(np.int64))], ["token"])
-
-    counted = texts.select(F.col("text").cast("string")).distinct().mapInArrow(run, "token long").groupBy("token").count()
-    top = counted.filter("count > 2").orderBy(F.desc("count"), "token").limit(FREQUENT).collect()
-    tokens = np.array([r[0] for r in top], np.int64).view(np.uint64)
-    order = np.argsort(tokens)
-    return tokens[order], np.array([r[1] for r in top], np.int64)[order]
-
-
-def _set_prints(docs: DataFrame, shingle: int, tenths: int) -> DataFrame:
-    """doc_id, fp (hash of the set of shingles), text_hash, n, first (its first shingles): one row per row of ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast(_frequent(docs, shingle))
-    d = pick(docs, "doc_id", "text")
-    d = d.select(d["doc_id"].cast("long"), F.xxhash64("text").alias("text_hash"), d["text"].cast("string"))
-
-    def run(batches):
-        frequent, counts = shared.value
-        for batch in batches:
-            fps, sizes, firsts = [], [], []
-            for x in batch.column("text"):
-                tokens = np.unique(shingle_hashes(x.as_py(), shingle))
-                n = len(tokens)
-                rank = np.zeros(n, np.int64)
-                if len(frequent):
-                    at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
-                    rank = np.where(frequent[at] == tokens, counts[at], 0)
-                order = np.argsort(rank, kind="stable")  # then by hash
-                fps.append(xxhash.xxh64_intdigest(tokens.tobytes(), SEED))
-                sizes.append(n)
-                # Texts that share at least ceil(n * tenths / 10) shingles meet in one of these.
-                firsts.append(tokens[order[: n + (-n * tenths) // 10 + 1 if n else 0]].view(np.int64))
-            arrays = [batch.column("doc_id"), pa.array(np.array(fps, np.uint64).view(np.int64)), batch.column("text_hash"), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "fp", "text_hash", "n", "first"])
-
-    return d.mapInArrow(run, "doc_id long, fp long, text_hash long, n int, first array<long>")
-
-
-def _similar(pairs: DataFrame, prints: DataFrame, docs: DataFrame, shingle: int, tenths: int) -> DataFrame:
-    """Those of ``pairs`` (a, b: set hashes) whose whole sets of shingles are similar enough."""
-    members = pairs.select(F.col("a").alias("m")).union(pairs.select(F.col("b").alias("m"))).distinct()
-    hashes = prints.join(members, prints["fp"] == members["m"], "left_semi").groupBy("fp").agg(F.min("text_hash").alias("h"))
-    hashes = cut(hashes)
-    few = hashes.count() <= BROADCAST_IDS
-    texts = pick(docs, "text").select(F.col("text").cast("string"), F.xxhash64("text").alias("text_hash"))
-    met = texts.join(F.broadcast(hashes) if few else hashes, texts["text_hash"] == hashes["h"]).select("fp", "text").dropDuplicates(["fp"])
-
-    def run(batches):
-        for batch in batches:
-            sets = [np.unique(shingle_hashes(x.as_py(), shingle)).view(np.int64) for x in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array(sets, pa.list_(pa.int64()))], ["fp", "tokens"])
-
-    sets = cut(met.mapInArrow(run, "fp long, tokens array<long>"))
-    left, right = sets.select(F.col("fp").alias("a_fp"), F.col("tokens").alias("a_set")), sets.select(F.col("fp").alias("b_fp"), F.col("tokens").alias("b_set"))
-    joined = pairs.join(left, pairs["a"] == left["a_fp"]).join(right, pairs["b"] == right["b_fp"])
-    both = F.size(F.array_intersect("a_set", "b_set"))
-    return cut(joined.filter(both * (10 + tenths) >= (F.size("a_set") + F.size("b_set")) * tenths).select("a", "b"))
-
-
-def similar_links(prints: DataFrame, docs: DataFrame, shingle: int = JACCARD_SHINGLE, tenths: int = JACCARD_TENTHS) -> DataFrame:
-    """Links (a, b) between set hashes whose closure is that of all pairs of Jaccard similarity ``tenths`` / 10 or more.
-
-    First every set meets the least set of each of its first shingles; then all
-    pairs that share a first shingle and are not yet linked, so that a large
-    group of near copies costs no pair enumeration.
-    """
-    rows = prints.groupBy("fp").agg(F.first("n").alias("n"), F.first("first").alias("first"))
-    rows = rows.select("fp", "n", F.explode("first").alias("token"))
-    w = Window.partitionBy("token")
-    rows = rows.withColumns({"least": F.min(F.struct("fp", "n")).over(w), "most": F.max("fp").over(w)})
-    rows = cut(rows.filter("least.fp <> most").select("token", "fp", "n", F.col("least.fp").alias("least"), F.col("least.n").alias("least_n")))
-
-    def alike(n: str, m: str) -> str:
-        return f"10 * least({n}, {m}) >= {tenths} * greatest({n}, {m})"
-
-    def possible(shared: DataFrame) -> DataFrame:
-        # Beyond the first shingles that meet, two texts share at most what follows the first ones of the larger.
-        most = f"count + ({tenths} * greatest(n, m) + 9) div 10 - 1"
-        counted = shared.filter(alike("n", "m")).groupBy("a", "b", "n", "m").count()
-        return cut(counted.filter(f"({most}) * {10 + tenths} >= (n + m) * {tenths}").select("a", "b"))
-
-    stars = possible(rows.filter("fp <> least").select(F.col("least").alias("a"), F.col("fp").alias("b"), F.col("least_n").alias("n"), F.col("n").alias("m")))
-    stars = _similar(stars, prints, docs, shingle, tenths)
-    roots = components(stars)
-    roots = cut(roots.union(roots.select(F.col("root").alias("node"), "root").distinct()))
-    rows = rows.join(roots, rows["fp"] == roots["node"], "left").select("token", "fp", "n", F.coalesce("root", "fp").alias("group"))
-    w = Window.partitionBy("token")
-    rows = cut(rows.withColumns({"low": F.min("group").over(w), "high": F.max("group").over(w)}).filter("low <> high").select("token", "fp", "n", "group"))
-    other = rows.select(F.col("token").alias("o_token"), F.col("fp").alias("o_fp"), F.col("n").alias("o_n"), F.col("group").alias("o_group"))
-    met = rows.join(other, (F.col("token") == F.col("o_token")) & (F.col("fp") < F.col("o_fp")) & (F.col("group") != F.col("o_group")))
-    pairs = possible(met.select(F.col("fp").alias("a"), F.col("o_fp").alias("b"), "n", F.col("o_n").alias("m")))
-    return stars.union(_similar(pairs, prints, docs, shingle, tenths))
+    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("rows")))
+    return _classed(prints, distinct, links(distinct, differ, sample, leaf))
 
 
-def near_duplicates_by_jaccard(docs: DataFrame, shingle: int = JACCARD_SHINGLE, tenths: int = JACCARD_TENTHS) -> DataFrame:
+def near_duplicates_by_jaccard(docs: DataFrame, shingle: int = shingle_sets.SHINGLE, tenths: int = shingle_sets.TENTHS) -> DataFrame:
     """doc_id, fp (hash of the set of shingles), text_hash, class_id, component_id: one row per row of ``docs``."""
-    prints = cut(_set_prints(docs, shingle, tenths))
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    classes = _named(distinct, similar_links(prints, docs, shingle, tenths))
-    return prints.drop("n", "first").join(classes, prints["fp"] == classes["class_fp"]).drop("class_fp")
+    prints = cut(shingle_sets.set_prints(docs, shingle))
+    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("rows")))
+    return _classed(prints.drop("n"), distinct, shingle_sets.similar_links(prints, docs, components, shingle, tenths))
 
 
 def with_clusters(docs: DataFrame) -> DataFrame:
-    """doc_id, source, text of every row of ``docs``, and cluster: its near-duplicate class in lower case, null if that has one text only."""
+    """doc_id, source, text of every row of ``docs``, and cluster: its near-duplicate class, or its text's hash where the class has one text only."""
     d = pick(docs, "doc_id", "source", "text")
-    low = F.lower(d["text"].cast("string"))
-    found = near_duplicates_by_jaccard(d.select("doc_id", low.alias("text")))
+    found = near_duplicates_by_jaccard(d)
     found = cut(found.groupBy("text_hash").agg(F.min("class_id").alias("class_id")))
     several = found.groupBy("class_id").count().filter("count > 1").select(F.col("class_id").alias("cluster"))
     classes = cut(found.join(several, found["class_id"] == several["cluster"]).select("text_hash", "cluster"))
-    d = d.withColumn("k_hash", F.xxhash64(low))
+    d = d.withColumn("k_hash", F.xxhash64(d["text"].cast("string")))
     joined = join_small(d, classes, d["k_hash"] == classes["text_hash"], "left", classes.count(), BROADCAST_IDS)
-    return joined.select("doc_id", "source", "text", "cluster")
+    return joined.select("doc_id", "source", "text", F.coalesce("cluster", "k_hash").alias("cluster"))
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, differ: int = DIFFER, sample: int = SAMPLE, leaf: int = LEAF) -> DataFrame:
@@ -424,7 +331,7 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, differ: int = DIFFER, samp
     return _first_rows(docs, near_duplicates(docs, shingle, differ, sample, leaf))
 
 
-def keep_one_by_jaccard(docs: DataFrame, shingle: int = JACCARD_SHINGLE, tenths: int = JACCARD_TENTHS) -> DataFrame:
+def keep_one_by_jaccard(docs: DataFrame, shingle: int = shingle_sets.SHINGLE, tenths: int = shingle_sets.TENTHS) -> DataFrame:
     """As ``keep_one``, with groups of texts linked by Jaccard similarity ``tenths`` / 10 or more; texts without a word are one group."""
     return _first_rows(docs, near_duplicates_by_jaccard(docs, shingle, tenths))
 

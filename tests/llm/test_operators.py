@@ -546,3 +546,49 @@ def test_sanitised_by_force(make_docs):
                 out += [text[at : int(a)], f"<{k.upper()}>"]
             at = max(at, int(b))
         assert r.text == "".join(out) + text[at:]
+
+
+def test_an_overfull_leaf_loses_no_link(monkeypatch):
+    rng = np.random.default_rng(18)
+    fps = rng.integers(0, 1 << 63, 600, dtype=np.uint64)
+    near = [fps[i] ^ np.uint64(sum(1 << int(b) for b in rng.choice(64, 4, replace=False))) for i in range(0, 600, 3)]
+    fps = np.unique(np.concatenate((fps, near)))
+    expected = classes_by_force(fps)
+    for overfull in (8_192, 50):
+        monkeypatch.setattr(simhash_dedup, "OVERFULL", overfull)
+        a, b = simhash_dedup.leaf_links(fps, 4)
+        label = np.arange(len(fps))
+        label[a] = b
+        group = {}
+        assert all(group.setdefault(e, g) == g for e, g in zip(expected, label, strict=True)) and len(set(label)) == len(set(expected))
+
+
+def test_parts_of_a_frequent_shingle_meet(spark, make_docs):
+    rng = random.Random(7)
+    words = [f"word{i}" for i in range(120)]
+    rows = [(i, " ".join([*words[:at], f"own{i}", *words[at + 1 :]])) for i, at in enumerate(rng.choices(range(120), k=120))]
+    rows += [(1000 + i, " ".join(rng.choices(words, k=60))) for i in range(40)]
+    docs = make_docs(*rows)
+    for tokens, hot in ((2_000_000, 1_000_000), (200, 10)):
+        prints = simhash_dedup.shingle_sets.set_prints(docs).cache()
+        edges = simhash_dedup.shingle_sets.similar_links(prints, docs, simhash_dedup.components, task_tokens=tokens, hot_rows=hot)
+        roots = {r.node: r.root for r in simhash_dedup.components(edges).collect()}
+        of = {r.doc_id: roots.get(r.fp, r.fp) for r in prints.collect()}
+        assert len({of[i] for i in range(120)}) == 1 and len(set(of.values())) == 41
+
+
+def test_shingle_sets_by_force():
+    import pyarrow as pa
+
+    rng = random.Random(1)
+    texts = [None, "", " ", "a", "a b c d", "x" * 20_000 + " y " + "q" * 70 + " z z z z z z z", "A b C d E F", "a b c d e f", "a  b\tc d e\nf"]
+    texts += [" ".join(rng.choice(["ab", "Abcdefgh", "abcdefghi", "é" * 30, "w" * 64, "w" * 65, "w" * 16, "w" * 17]) for _ in range(rng.randint(0, 20))) for _ in range(600)]
+
+    def force(t):
+        words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "").split()
+        return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+    names = {}
+    for t, got in zip(texts, simhash_dedup.shingle_sets.shingle_sets(pa.array(texts)), strict=True):
+        assert len(got) == len(force(t)) and names.setdefault(force(t), got.tobytes()) == got.tobytes()
+    assert len(set(names.values())) == len(names)
