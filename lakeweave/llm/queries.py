@@ -126,16 +126,23 @@ ORACLES: dict[str, str] = {
             FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM d)
         ), w AS (
             SELECT doc_id, i, line, string_split(regexp_replace(plain, '[^ ]*[0-9][^ ]*', '<*>', 'g'), ' ') AS words FROM e WHERE plain <> ''
-        ), k AS (
-            SELECT doc_id, i, 0 AS part, words[1:0] AS head, words AS tail FROM w WHERE len(words) >= 4
-            UNION ALL
-            SELECT doc_id, i, k + 1, words[1:3 + ceil((len(words) - 3) * k / 4.0)::BIGINT],
-                words[4 + ceil((len(words) - 3) * (k + 1) / 4.0)::BIGINT:] || ['', len(words)::VARCHAR]
-            FROM w, range(4) AS r(k) WHERE len(words) >= 8
         ), p AS (
-            SELECT part, head, tail, min(doc_id) AS first FROM k GROUP BY ALL HAVING count(DISTINCT doc_id) >= 3
+            SELECT words, count(DISTINCT doc_id) AS docs, min(doc_id) AS first FROM w GROUP BY words
+        ), k AS (
+            SELECT words, docs, place, words[place] AS word FROM (SELECT words, docs, unnest(range(4, len(words) + 1)) AS place FROM p)
+        ), q AS (
+            SELECT len(words) AS n, words[1:3] AS head, place, word FROM k GROUP BY ALL HAVING sum(docs) >= 3
+        ), g AS (
+            SELECT k.words, string_agg(k.place || ' ' || k.word, chr(10) ORDER BY k.place) AS fixed, count(*) AS n_fixed
+            FROM k JOIN q ON len(k.words) = q.n AND k.words[1:3] = q.head AND k.place = q.place AND k.word = q.word GROUP BY k.words
+        ), m AS (
+            SELECT words, len(words) AS n, words[1:3] AS head, fixed FROM g WHERE 10 * (n_fixed + 3) >= 7 * len(words)
+        ), r AS (
+            SELECT n, head, fixed, min(doc_id) AS first FROM w JOIN m USING (words) GROUP BY n, head, fixed HAVING count(DISTINCT doc_id) >= 3
         ), lost AS (
-            SELECT DISTINCT doc_id, i FROM k JOIN p ON k.part = p.part AND k.head = p.head AND k.tail = p.tail WHERE k.doc_id <> p.first
+            SELECT doc_id, i FROM w JOIN p USING (words) WHERE docs >= CASE WHEN len(words) >= 50 THEN 2 ELSE 3 END AND doc_id <> first
+            UNION
+            SELECT doc_id, i FROM w JOIN m USING (words) JOIN r USING (n, head, fixed) WHERE doc_id <> first
         ), c AS (
             SELECT e.doc_id, count(lost.i) AS n_dropped, string_agg(CASE WHEN lost.i IS NULL THEN line END, chr(10) ORDER BY e.i) AS text
             FROM e LEFT JOIN lost ON e.doc_id = lost.doc_id AND e.i = lost.i GROUP BY e.doc_id
