@@ -15,6 +15,7 @@ import copy
 import itertools
 from collections import OrderedDict
 from dataclasses import fields, is_dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -197,7 +198,7 @@ class Database:
         return sorted([t["name"] for t in self.state["tables"].values()] + list(self.external))
 
     def _emitter(self, params: dict | None = None) -> Emitter:
-        return Emitter(self._resolve, params)
+        return Emitter(self._resolve, params, kept_unique=True)
 
     def _resolve(self, table: str) -> Relation | None:
         low = table.lower()
@@ -577,27 +578,44 @@ class Database:
         names = [c["name"] for c in t["columns"]]
         ignore = s.action == "IGNORE" or s.upsert and s.upsert.sets is None
         changed = 0
+        keys = [k for k in [key, *self._uniques(t)] if k]
         if s.action == "REPLACE" and key:
-            rows = self._stage(self._one(rows, key, last=True))
-            if self._rows(t).join(rows.select(*key), key, "left_semi").limit(1).count():
-                self._replace(t, rows.select(*key), None)
-        elif ignore and key:
-            rows = self._stage(self._one(rows, key, last=False).join(self._rows(t).select(*key), key, "left_anti"))
+            given, old = self._stage(rows), self._rows(t)
+            # A row goes if any later one, or a new one, has one of its keys.
+            rows = self._stage(self._one(given, keys, last=True))
+            gone = [old.join(given.select(*k).dropna().distinct(), k, "left_semi").select(*key) for k in keys]
+            gone = self._stage(reduce(DataFrame.union, gone).distinct())
+            if gone.limit(1).count():
+                self._replace(t, gone, None)
+        elif ignore and keys:
+            every, left = rows.columns, rows
+            for k in keys:
+                left = left.join(self._rows(t).select(*k), k, "left_anti")
+            # The first of each key stays; what it rules out may have ruled out others, which are asked again.
+            rows, left = None, self._stage(left.select(*every))
+            while rows is None or left.limit(1).count():
+                first = self._stage(self._one(left, keys, last=False))
+                rows = first if rows is None else rows.union(first)
+                for k in keys:
+                    left = left.join(first.select(*k), k, "left_anti")
+                left = self._stage(left.join(first.select("__at"), "__at", "left_anti").select(*every))
         elif s.upsert and key:
             return self._upsert(t, s, rows, params, depth)
         else:
             self._check_unique(t, rows, self._rows(t))
-        if key and (s.action == "REPLACE" or ignore):
-            self._check_unique(t, rows, self._rows(t), primary=False)
         changed += rows.count()
         self._write(t, rows.orderBy("__at") if depth else rows, True)
         self._fire(low, "INSERT", "AFTER", rows, depth)
         return self._returned(t, s.returning, rows, params) if s.returning else changed
 
-    def _one(self, rows: DataFrame, key: list[str], last: bool) -> DataFrame:
-        """The first or last row of each key in the statement's order."""
-        at = F.max("__at") if last else F.min("__at")
-        return rows.join(rows.groupBy(*key).agg(at.alias("__at")), [*key, "__at"], "left_semi")
+    def _one(self, rows: DataFrame, keys: list[list[str]], last: bool) -> DataFrame:
+        """The rows that are the first or last of each of their keys in the statement's order; a key with a null is none."""
+        at, names = (F.max("__at") if last else F.min("__at")), rows.columns
+        out = rows
+        for key in keys:
+            best = rows.dropna(subset=key).groupBy(*key).agg(at.alias("__best"))
+            out = out.join(best, key, "left").filter("__best IS NULL OR __best = __at").select(*names)
+        return out
 
     def _upsert(self, t: dict, s: ast.Insert, rows: DataFrame, params: dict, depth: int) -> int:
         """DO UPDATE: rows of new keys go in, others change the row they meet; rows of one key take turns."""

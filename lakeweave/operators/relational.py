@@ -92,8 +92,8 @@ def top_k_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int)
 
 
 def distinct(df: DataFrame, primary: tuple[str, ...] = ()) -> DataFrame:
-    """Distinct rows; no work where the columns include the table's primary key."""
-    return df if primary and set(primary) <= set(df.columns) else df.distinct()
+    """Distinct rows. A declared ``primary`` key is no ground to skip the work: files do not enforce it."""
+    return df.distinct()
 
 
 def set_operation(op: str, *frames: DataFrame) -> DataFrame:

@@ -50,12 +50,12 @@ def test_group_limit_before_the_shuffle(ws):
     assert "WindowGroupLimit" in plan(R.top_k_per_group(ws.table("orders"), ["o_custkey"], [F.desc("o_totalprice")], 2))
 
 
-def test_distinct_on_a_key_is_free(ws):
-    assert "Aggregate" not in plan(R.distinct(ws.table("orders").select("o_orderkey", "o_custkey"), ("o_orderkey",)))
+def test_distinct_on_a_declared_key_is_done(ws):
+    assert "Aggregate" in plan(R.distinct(ws.table("orders").select("o_orderkey", "o_custkey"), ("o_orderkey",)))
 
 
-def test_distinct_sql_on_a_key_is_free(ws):
-    assert "Aggregate" not in plan(ws.sql("SELECT DISTINCT o_custkey, o_orderkey FROM orders"))
+def test_distinct_sql_on_a_declared_key_is_done(ws):
+    assert "Aggregate" in plan(ws.sql("SELECT DISTINCT o_custkey, o_orderkey FROM orders"))  # a file's key is not enforced
     assert "Aggregate" in plan(ws.sql("SELECT DISTINCT o_custkey FROM orders"))
     assert "Aggregate" in plan(ws.sql("SELECT DISTINCT a.o_orderkey FROM orders a JOIN lineitem ON a.o_orderkey = l_orderkey"))
 
