@@ -17,7 +17,8 @@ Defined results: vectors that are null or hold null or non-finite components,
 and rows without a vec_id, take no part; vectors of different lengths are
 compared as if padded with zeros; rows that share the query's vec_id are its
 own; repeated rows are candidates each, repeated queries give one result; an
-empty table gives an empty result; extra columns are ignored.
+empty table gives an empty result; extra columns are ignored; where components
+are so large that a score could leave 64 bits an OverflowError is raised.
 """
 
 from __future__ import annotations
@@ -97,7 +98,10 @@ def top_k(vectors: DataFrame, k: int, is_query: Column, id_col: str = "vec_id",
     v = v.select(v[id_col].cast("long").alias("vec_id"), v[vector_col].cast("array<double>").alias("v"))
     finite = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
     v = v.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).filter(finite)
-    total, n_queries, width = v.agg(F.count(F.lit(1)), F.coalesce(F.count_if(is_query), F.lit(0)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    largest = F.max(F.array_max(F.transform("v", F.abs)))
+    total, n_queries, width, most = v.agg(F.count(F.lit(1)), F.coalesce(F.count_if(is_query), F.lit(0)), F.coalesce(F.max(F.size("v")), F.lit(0)), F.coalesce(largest, F.lit(0.0))).first()
+    if width * (SCALE * most + 1) ** 2 >= 2.0**63:
+        raise OverflowError(f"components up to {most:g} in {width} dimensions: inner products may leave 64 bits")
     row_blocks, query_blocks = max(1, -(-total // rows)), max(1, -(-n_queries // queries))
     q = v.filter(is_query).dropDuplicates(["vec_id", "v"]).withColumn("query_hash", F.xxhash64("v"))
     q = q.withColumn("qb", F.pmod(F.xxhash64("vec_id", "v"), F.lit(query_blocks))).withColumn("rb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(row_blocks - 1).cast("long"))))

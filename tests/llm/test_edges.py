@@ -70,3 +70,12 @@ def test_topk_edges(spark):
     assert first == [(1, 9, 81920), (2, 9, 81920), (3, 50, 81920), (4, 8, 65536), (5, 50, 16384)] or [f[2] for f in first] == [81920, 81920, 81920, 65536, 16384]
     assert {r.vec_id for r in got} <= {0, 7, 8, 9, 50}
     assert topk_search.top_k(df.filter("vec_id = 1000"), 5, F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_topk_refuses_scores_beyond_64_bits(spark):
+    for big in (1e30, 1e8):
+        df = spark.createDataFrame([(0, [big, 1.0]), (50, [2 * big, 1.0])], "vec_id long, embedding array<double>")
+        with pytest.raises(OverflowError):
+            topk_search.top_k(df, 5, F.col("vec_id") % 50 == 0)
+    df = spark.createDataFrame([(0, [1e6, 1.0]), (50, [2e6, 1.0])], "vec_id long, embedding array<double>")
+    assert {r.score for r in topk_search.top_k(df, 5, F.col("vec_id") % 50 == 0).collect()} == {256_000_000 * 512_000_000 + 256 * 256}
