@@ -5,8 +5,8 @@ A line's words descend a tree of fixed depth: first by their count, then by
 a leaf the lines themselves say which fields vary: a word is constant at its
 place if ``least_docs`` documents have it there (counted once for each
 different line), else it is a variable field. A line of which ``CONSTANT``
-tenths of the words, the leading ones included, are constant belongs to the
-generalised template of its constant words; and every line belongs to its exact
+tenths of the words, the leading ones included, are constant, one beyond those
+at least, belongs to the generalised template of its constant words; and every line belongs to its exact
 template, all of its words. A template met in ``least_docs`` or more documents
 recurs: its lines are dropped everywhere but in its first document, the one of
 smallest doc_id. Lines of fewer than ``least_words`` words are left alone; an

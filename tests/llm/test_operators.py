@@ -275,8 +275,8 @@ def test_any_fields_generalise(make_docs):
     rows += [(20 + i, f"{names[i]} went home to {cities[i]} by bus today") for i in range(4)]
     rows += [(30 + i, f"these lines share only {names[i]} {cities[i]} {cities[3 - i]}") for i in range(4)]
     got = {r.doc_id: r.n_dropped for r in line_dedup.drop_recurring_lines(make_docs(*rows)).collect()}
-    assert [got[i] for i in range(4)] == [0, 1, 1, 1] and [got[i] for i in (10, 11, 12)] == [0, 1, 1]
-    assert not any(got[i] for i in (*range(20, 24), *range(30, 34)))  # leading words differ; too few are constant
+    assert [got[i] for i in range(4)] == [0, 1, 1, 1] and [got[i] for i in (10, 11, 12)] == [0, 0, 0]
+    assert not any(got[i] for i in (*range(20, 24), *range(30, 34)))  # leading words differ; too few are constant; 10 to 12: none beyond the leading words is
 
 
 def test_many_lost_lines(make_docs):
