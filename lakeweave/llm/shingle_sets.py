@@ -11,7 +11,13 @@ those met in one set only end there. In each, every set meets the least set of
 each shingle; what those pairs share bounds their similarity, and whole texts
 decide. Then all pairs that share a first shingle and are not linked yet are
 decided likewise, so that a large group of near copies costs no pair
-enumeration. A shingle frequent in the sample is dealt out by set as well
+enumeration. Each set has a parity sketch, in which a bit tells whether an odd
+number of its shingles fall there: the bits in which two sketches differ are
+no more than the shingles in which the sets differ, so that most pairs that
+are not similar enough make no row. Before that, the sets of a shingle that many
+share meet a few of them, drawn by hash, which links most that can be linked at
+a cost in proportion to the sets; and shingles met in the same sets are taken
+as one with a weight. A shingle frequent in the sample is dealt out by set as well
 (``HOT_ROWS``), and its parts' least sets meet again.
 """
 
@@ -37,8 +43,14 @@ HOT_ROWS = 1_000_000
 CHUNK_BYTES = 1 << 19
 FLUSH_TOKENS = 4_000_000
 LONG_WORD = 64
-#: Most narrow rows (16 bytes each) that are broadcast.
+#: Most narrow rows (16 bytes each) that are broadcast, and most sketches (8 bytes and PARITY words each).
 BROADCAST_ROWS = 500_000
+BROADCAST_SKETCHES = 100_000
+#: 64-bit words of a parity sketch.
+PARITY = 8
+#: Sets of one shingle beyond which each meets this many drawn ones before all pairs are looked at.
+CROWD = 8
+DRAWN = 3
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SPACE = bytes(b in b"\t\n\v\f\r " for b in range(256))
@@ -120,21 +132,30 @@ def set_hash(tokens: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(tokens.tobytes(), 42)
 
 
+def parity(tokens: np.ndarray) -> np.ndarray:
+    """The parity sketch of a set of shingles."""
+    odd = np.bincount((tokens & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _typed(docs: DataFrame) -> DataFrame:
     d = pick(docs, "doc_id", "text")
     return d.select(d["doc_id"].cast("long"), F.xxhash64(d["text"].cast("string")).alias("text_hash"), d["text"].cast("string"))
 
 
 def set_prints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (hash of the set of shingles), text_hash, n (its size): one row per row of ``docs``."""
+    """doc_id, fp (hash of the set of shingles), text_hash, n (its size), p0, p1 and so on (its parity sketch): one row per row of ``docs``."""
+    sketch = [f"p{i}" for i in range(PARITY)]
 
     def run(batches):
         for batch in batches:
             sets = shingle_sets(batch.column("text"), shingle)
             fps = pa.array(np.array([set_hash(s) for s in sets], np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), fps, batch.column("text_hash"), pa.array([len(s) for s in sets], pa.int32())], ["doc_id", "fp", "text_hash", "n"])
+            words = np.array([parity(s) for s in sets], np.int64).reshape(-1, PARITY)
+            columns = [batch.column("doc_id"), fps, batch.column("text_hash"), pa.array([len(s) for s in sets], pa.int32()), *[pa.array(words[:, i].copy()) for i in range(PARITY)]]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "text_hash", "n", *sketch])
 
-    return _typed(docs).mapInArrow(run, "doc_id long, fp long, text_hash long, n int")
+    return _typed(docs).mapInArrow(run, "doc_id long, fp long, text_hash long, n int, " + ", ".join(f"{p} long" for p in sketch))
 
 
 def _frequent(docs: DataFrame, rows: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -307,13 +328,49 @@ def similar_links(prints: DataFrame, docs: DataFrame, components, shingle: int =
     between = between.select(F.col("s_a").alias("a"), F.col("a").alias("b"), F.col("s_n").alias("n"), F.col("n").alias("m"), F.lit(1).alias("count")).filter(alike)
     stars = possible(met.filter("kind = 0").select("a", "b", "n", "m", "count").union(between))
     stars = _similar(stars, prints, docs, shingle, tenths)
+    sketch = [f"p{i}" for i in range(PARITY)]
+    # Sets of similarity t differ in at most (n + m) * (1 - t) / (1 + t) shingles.
+    near = f"({' + '.join(f'bit_count({p} ^ o_{p})' for p in sketch)}) * {10 + tenths} <= (n + m) * {10 - tenths}"
+
+    def still_apart(tokens: DataFrame, groups: DataFrame) -> DataFrame:
+        """token, fp, n, group, sets, weight: the first shingles whose sets have several labels by ``groups`` (node, root); those met in the same sets are one, of their summed weight."""
+        tokens = join_small(tokens, groups, tokens["group"] == groups["node"], "left", groups.count(), BROADCAST_ROWS).select("token", "fp", "n", "weight", F.coalesce("root", "group").alias("group"))
+        same = [F.bit_xor(F.xxhash64("fp", F.lit(i))).alias(f"x{i}") for i in range(2)]
+        apart = tokens.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count(F.lit(1)).alias("sets"), F.max("weight").alias("weight"), *same)
+        apart = apart.filter("low <> high").groupBy("x0", "x1", "sets").agg(F.min("token").alias("t"), F.sum("weight").alias("weight")).select("t", "sets", "weight")
+        return cut(tokens.drop("weight").join(apart, tokens["token"] == apart["t"]).drop("t"))
+
     roots = components(stars)
     roots = cut(roots.union(roots.select(F.col("root").alias("node"), "root").distinct()))
-    tokens = met.filter("kind = 1").select("token", F.col("a").alias("fp"), "n")
-    tokens = join_small(tokens, roots, tokens["fp"] == roots["node"], "left", roots.count(), BROADCAST_ROWS).select("token", "fp", "n", F.coalesce("root", "fp").alias("group"))
-    apart = tokens.groupBy("token").agg(F.min("group").alias("low"), F.max("group").alias("high")).filter("low <> high").select(F.col("token").alias("p_token"))
-    tokens = cut(tokens.join(apart, F.col("token") == F.col("p_token"), "left_semi"))
-    other = tokens.select(F.col("token").alias("o_token"), F.col("fp").alias("b"), F.col("n").alias("m"), F.col("group").alias("o_group"))
+    tokens = still_apart(met.filter("kind = 1").select("token", F.col("a").alias("fp"), "n", F.lit(1).cast("long").alias("weight"), F.col("a").alias("group")), roots)
+    sketches = prints.join(tokens.select(F.col("fp").alias("t_fp")).distinct(), F.col("fp") == F.col("t_fp"), "left_semi")
+    sketches = cut(sketches.groupBy(F.col("fp").alias("s_fp")).agg(*[F.min(p).alias(p) for p in sketch]))
+    many = sketches.count()
+
+    def sketched(tokens: DataFrame) -> DataFrame:
+        return join_small(tokens, sketches, tokens["fp"] == sketches["s_fp"], "inner", many, BROADCAST_SKETCHES).drop("s_fp")
+
+    # Where many sets share a shingle, each meets some drawn for that shingle first, which links most of those that can be.
+    crowd = sketched(tokens.filter(F.col("sets") > CROWD))
+    drawn = [F.min_by(F.struct("fp", "n", "group", *sketch), F.xxhash64("fp", "token", F.lit(i))) for i in range(DRAWN)]
+    drawn = crowd.groupBy(F.col("token").alias("o_token")).agg(F.array(*drawn).alias("c")).select("o_token", F.explode(F.array_distinct("c")).alias("c"))
+    drawn = drawn.select("o_token", F.col("c.fp").alias("b"), F.col("c.n").alias("m"), F.col("c.group").alias("o_group"), *[F.col(f"c.{p}").alias(f"o_{p}") for p in sketch])
+    pairs = crowd.join(drawn, (F.col("token") == F.col("o_token")) & (F.col("group") != F.col("o_group"))).filter(alike).filter(near)
+    pairs = cut(pairs.select(F.least("fp", "b").alias("a"), F.greatest("fp", "b").alias("b")).distinct())
+    met_here = _similar(pairs, prints, docs, shingle, tenths)
+    links = stars.union(met_here)
+    # Two steps to the least neighbour: sets of one label are of one component, which is all that is asked here.
+    many_roots = roots.count()
+    named = met_here
+    for x in "ab":
+        side = roots.select(F.col("node").alias(f"{x}_node"), F.col("root").alias(f"{x}_root"))
+        named = join_small(named, side, F.col(x) == F.col(f"{x}_node"), "left", many_roots, BROADCAST_ROWS).withColumn(f"{x}_group", F.coalesce(f"{x}_root", x))
+    both = cut(named.select(F.explode(F.array(F.struct(F.col("a_group").alias("u"), F.col("b_group").alias("v")), F.struct(F.col("b_group").alias("u"), F.col("a_group").alias("v")))).alias("e")).select("e.u", "e.v").distinct())
+    step = both.groupBy(F.col("u").alias("w")).agg(F.min(F.least("u", "v")).alias("l"))
+    labels = cut(both.join(step, both["v"] == step["w"]).groupBy(F.col("u").alias("node")).agg(F.min(F.least("u", "l")).alias("root")))
+    tokens = sketched(still_apart(tokens.select("token", "fp", "n", "weight", "group"), labels)).drop("sets")
+
+    other = tokens.select(F.col("token").alias("o_token"), F.col("fp").alias("b"), F.col("n").alias("m"), F.col("group").alias("o_group"), *[F.col(p).alias(f"o_{p}") for p in sketch])
     pairs = tokens.join(other, (F.col("token") == F.col("o_token")) & (F.col("fp") < F.col("b")) & (F.col("group") != F.col("o_group")))
-    pairs = possible(pairs.filter(alike).select(F.col("fp").alias("a"), "b", "n", "m", F.lit(1).alias("count")))
-    return stars.union(_similar(pairs, prints, docs, shingle, tenths))
+    pairs = possible(pairs.filter(alike).filter(near).select(F.col("fp").alias("a"), "b", "n", "m", F.col("weight").alias("count")))
+    return links.union(_similar(pairs, prints, docs, shingle, tenths))

@@ -307,7 +307,7 @@ def near_duplicates_by_jaccard(docs: DataFrame, shingle: int = shingle_sets.SHIN
     """doc_id, fp (hash of the set of shingles), text_hash, class_id, component_id: one row per row of ``docs``."""
     prints = cut(shingle_sets.set_prints(docs, shingle))
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("rows")))
-    return _classed(prints.drop("n"), distinct, shingle_sets.similar_links(prints, docs, components, shingle, tenths))
+    return _classed(prints.select("doc_id", "fp", "text_hash"), distinct, shingle_sets.similar_links(prints, docs, components, shingle, tenths))
 
 
 def with_clusters(docs: DataFrame) -> DataFrame:

@@ -611,3 +611,33 @@ def test_shingle_sets_by_force():
     for t, got in zip(texts, simhash_dedup.shingle_sets.shingle_sets(pa.array(texts)), strict=True):
         assert len(got) == len(force(t)) and names.setdefault(force(t), got.tobytes()) == got.tobytes()
     assert len(set(names.values())) == len(names)
+
+
+def test_a_parity_sketch_differs_in_no_more_bits_than_the_sets():
+    rng = np.random.default_rng(3)
+    sets = simhash_dedup.shingle_sets
+    for size in (0, 1, 40, 700, 5_000):
+        base = np.unique(rng.integers(0, 1 << 64, size, np.uint64))
+        for changed in (0, 1, size // 3, size):
+            other = np.unique(np.concatenate((base[changed:], rng.integers(0, 1 << 64, changed, np.uint64))))
+            bits = sum(int(x).bit_count() for x in (sets.parity(base) ^ sets.parity(other)).view(np.uint64))
+            apart = len(np.setxor1d(base, other))
+            assert bits <= apart and bits % 2 == apart % 2 and len(sets.parity(base)) == sets.PARITY
+
+
+def test_sets_that_stars_leave_apart_are_linked_by_similarity(spark, make_docs):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(90)]
+    texts = [list(words)]
+    for _ in range(70):  # copies of one text with a few words of their own, so that similarities lie around 0.8
+        texts.append([w if rng.random() > 0.025 else f"x{rng.randrange(10**6)}" for w in words])
+    docs = make_docs(*[(i, " ".join(t)) for i, t in enumerate(texts)])
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    least = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+                a, b = least[i], least[j]
+                least = [min(a, b) if x in (a, b) else x for x in least]
+    found = {r.doc_id: r.component_id for r in simhash_dedup.near_duplicates_by_jaccard(docs).collect()}
+    assert found == dict(enumerate(least)) and len(set(least)) > 3
