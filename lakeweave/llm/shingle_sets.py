@@ -51,6 +51,8 @@ PARITY = 8
 #: Sets of one shingle beyond which each meets this many drawn ones before all pairs are looked at.
 CROWD = 8
 DRAWN = 3
+#: Rounds of naming the sets so linked.
+NAMINGS = 3
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SPACE = bytes(b in b"\t\n\v\f\r " for b in range(256))
@@ -132,19 +134,31 @@ def set_hash(tokens: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(tokens.tobytes(), 42)
 
 
-def parity(tokens: np.ndarray) -> np.ndarray:
-    """The parity sketch of a set of shingles."""
-    odd = np.bincount((tokens & np.uint64(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY) & 1
+def parity(tokens: np.ndarray, bits: int = 64 * PARITY) -> np.ndarray:
+    """The parity sketch of a set of shingles, of a power of two of bits."""
+    odd = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def wide_parity(tokens: np.ndarray) -> np.ndarray:
+    """A parity sketch of at least four bits a shingle."""
+    return parity(tokens, max(64 * PARITY, 1 << (4 * len(tokens)).bit_length()))
+
+
+def _differing(a: bytes, b: bytes) -> int:
+    """The bits in which two wide sketches differ; the longer one is folded first, as the parity of a place is the sum of those it is folded from."""
+    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _typed(docs: DataFrame) -> DataFrame:
     d = pick(docs, "doc_id", "text")
     return d.select(d["doc_id"].cast("long"), F.xxhash64(d["text"].cast("string")).alias("text_hash"), d["text"].cast("string"))
 
 
 def set_prints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (hash of the set of shingles), text_hash, n (its size), p0, p1 and so on (its parity sketch): one row per row of ``docs``."""
+    """doc_id, fp (hash of the set of shingles), text_hash, n (its size), wide (its wide parity sketch), p0, p1 and so on (its parity sketch): one row per row of ``docs``."""
     sketch = [f"p{i}" for i in range(PARITY)]
 
     def run(batches):
@@ -152,10 +166,10 @@ def set_prints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             sets = shingle_sets(batch.column("text"), shingle)
             fps = pa.array(np.array([set_hash(s) for s in sets], np.uint64).view(np.int64))
             words = np.array([parity(s) for s in sets], np.int64).reshape(-1, PARITY)
-            columns = [batch.column("doc_id"), fps, batch.column("text_hash"), pa.array([len(s) for s in sets], pa.int32()), *[pa.array(words[:, i].copy()) for i in range(PARITY)]]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "text_hash", "n", *sketch])
+            columns = [batch.column("doc_id"), fps, batch.column("text_hash"), pa.array([len(s) for s in sets], pa.int32()), pa.array([wide_parity(s).tobytes() for s in sets], pa.binary()), *[pa.array(words[:, i].copy()) for i in range(PARITY)]]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "text_hash", "n", "wide", *sketch])
 
-    return _typed(docs).mapInArrow(run, "doc_id long, fp long, text_hash long, n int, " + ", ".join(f"{p} long" for p in sketch))
+    return _typed(docs).mapInArrow(run, "doc_id long, fp long, text_hash long, n int, wide binary, " + ", ".join(f"{p} long" for p in sketch))
 
 
 def _frequent(docs: DataFrame, rows: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -286,9 +300,25 @@ def _meetings(docs: DataFrame, rows: int, total: int, shingle: int, tenths: int,
 
 
 def _similar(pairs: DataFrame, prints: DataFrame, docs: DataFrame, shingle: int, tenths: int) -> DataFrame:
-    """Those of ``pairs`` (a, b: set hashes) whose whole sets of shingles are similar enough."""
+    """Those of ``pairs`` (a, b: set hashes) whose whole sets of shingles are similar enough.
+
+    Pairs whose wide sketches differ in more bits than similar sets can are left out before texts are met.
+    """
+    members = pairs.select(F.col("a").alias("m")).union(pairs.select(F.col("b").alias("m"))).distinct()
+    met = join_small(prints, members, prints["fp"] == members["m"], "left_semi", 2 * pairs.count(), BROADCAST_ROWS)
+    hashes = cut(met.groupBy("fp").agg(F.min("text_hash").alias("h"), F.min("n").alias("n"), F.min("wide").alias("wide")))
+    wa, wb = (hashes.select(F.col("fp").alias(f"{x}_fp"), F.col("n").alias(f"{x}_n"), F.col("wide").alias(f"{x}_wide")) for x in "ab")
+    sketched = pairs.join(wa, pairs["a"] == wa["a_fp"]).join(wb, pairs["b"] == wb["b_fp"]).select("a", "b", "a_n", "b_n", "a_wide", "b_wide")
+
+    def sift(batches):
+        for batch in batches:
+            a, b, n, m, x, y = (c.to_pylist() for c in batch.columns)
+            keep = [_differing(*w) * (10 + tenths) <= (i + j) * (10 - tenths) for i, j, w in zip(n, m, zip(x, y, strict=True), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    pairs = cut(sketched.mapInArrow(sift, "a long, b long"))
     members = pairs.select(F.col("a").alias("m")).union(pairs.select(F.col("b").alias("m"))).distinct()
-    hashes = cut(prints.join(members, prints["fp"] == members["m"], "left_semi").groupBy("fp").agg(F.min("text_hash").alias("h")))
+    hashes = cut(hashes.join(members, hashes["fp"] == members["m"], "left_semi").select("fp", "h"))
     texts = _typed(docs).select("text", "text_hash")
     met = join_small(texts, hashes, texts["text_hash"] == hashes["h"], "inner", hashes.count(), BROADCAST_ROWS)
     met = met.groupBy("fp").agg(F.first("text").alias("text"))
@@ -307,6 +337,30 @@ def _similar(pairs: DataFrame, prints: DataFrame, docs: DataFrame, shingle: int,
     return cut(joined.mapInArrow(run, "a long, b long"))
 
 
+def _contracted(edges: DataFrame) -> DataFrame:
+    """node, root for every node of ``edges`` (u, v): nodes of one root are of one component.
+
+    Each round names a node after the least node within two steps, and goes on with the edges between names.
+    A long chain keeps several roots after ``NAMINGS`` rounds, which costs its sets a comparison and changes no link.
+    """
+    found = None
+    for _ in range(NAMINGS):
+        both = cut(edges.filter("u <> v").select(F.explode(F.expr("array(struct(u, v), struct(v as u, u as v))")).alias("e")).select("e.u", "e.v").distinct())
+        if found is not None and both.isEmpty():
+            break
+        step = both.groupBy(F.col("u").alias("w")).agg(F.min(F.least("u", "v")).alias("l"))
+        names = cut(both.join(step, both["v"] == step["w"]).groupBy(F.col("u").alias("node")).agg(F.min(F.least("u", "l")).alias("root")))
+        size = names.count()
+
+        def renamed(rows: DataFrame, column: str) -> DataFrame:
+            to = names.select(F.col("node").alias("t_node"), F.col("root").alias("t_root"))
+            return join_small(rows, to, F.col(column) == F.col("t_node"), "left", size, BROADCAST_ROWS).withColumn(column, F.coalesce("t_root", column)).drop("t_node", "t_root")
+
+        found = names if found is None else cut(renamed(found, "root"))
+        edges = renamed(renamed(both, "u"), "v")
+    return found
+
+
 def similar_links(prints: DataFrame, docs: DataFrame, components, shingle: int = SHINGLE, tenths: int = TENTHS, task_tokens: int = TASK_TOKENS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Links (a, b) between the set hashes of ``prints`` whose closure is that of all pairs of Jaccard similarity ``tenths`` / 10 or more.
 
@@ -347,27 +401,27 @@ def similar_links(prints: DataFrame, docs: DataFrame, components, shingle: int =
     sketches = cut(sketches.groupBy(F.col("fp").alias("s_fp")).agg(*[F.min(p).alias(p) for p in sketch]))
     many = sketches.count()
 
-    def sketched(tokens: DataFrame) -> DataFrame:
-        return join_small(tokens, sketches, tokens["fp"] == sketches["s_fp"], "inner", many, BROADCAST_SKETCHES).drop("s_fp")
+    def sketched(tokens: DataFrame, fp: str = "fp") -> DataFrame:
+        return join_small(tokens, sketches, tokens[fp] == sketches["s_fp"], "inner", many, BROADCAST_SKETCHES).drop("s_fp")
 
     # Where many sets share a shingle, each meets some drawn for that shingle first, which links most of those that can be.
-    crowd = sketched(tokens.filter(F.col("sets") > CROWD))
-    drawn = [F.min_by(F.struct("fp", "n", "group", *sketch), F.xxhash64("fp", "token", F.lit(i))) for i in range(DRAWN)]
-    drawn = crowd.groupBy(F.col("token").alias("o_token")).agg(F.array(*drawn).alias("c")).select("o_token", F.explode(F.array_distinct("c")).alias("c"))
-    drawn = drawn.select("o_token", F.col("c.fp").alias("b"), F.col("c.n").alias("m"), F.col("c.group").alias("o_group"), *[F.col(f"c.{p}").alias(f"o_{p}") for p in sketch])
-    pairs = crowd.join(drawn, (F.col("token") == F.col("o_token")) & (F.col("group") != F.col("o_group"))).filter(alike).filter(near)
+    crowd = tokens.filter(F.col("sets") > CROWD)
+    draws = [F.xxhash64("fp", "token", F.lit(i)) for i in range(DRAWN)]
+    least = crowd.groupBy(F.col("token").alias("o_token")).agg(*[F.min(d).alias(f"l{i}") for i, d in enumerate(draws)])
+    of_draw = F.coalesce(*[F.when(d == F.col(f"l{i}"), True) for i, d in enumerate(draws)])
+    drawn = crowd.join(least, F.col("token") == F.col("o_token")).filter(of_draw)
+    drawn = sketched(drawn.select("o_token", F.col("fp").alias("b"), F.col("n").alias("m"), F.col("group").alias("o_group")), "b")
+    drawn = drawn.select("o_token", "b", "m", "o_group", *[F.col(p).alias(f"o_{p}") for p in sketch])
+    pairs = sketched(crowd).join(drawn, (F.col("token") == F.col("o_token")) & (F.col("group") != F.col("o_group"))).filter(alike).filter(near)
     pairs = cut(pairs.select(F.least("fp", "b").alias("a"), F.greatest("fp", "b").alias("b")).distinct())
     met_here = _similar(pairs, prints, docs, shingle, tenths)
     links = stars.union(met_here)
-    # Two steps to the least neighbour: sets of one label are of one component, which is all that is asked here.
     many_roots = roots.count()
     named = met_here
     for x in "ab":
         side = roots.select(F.col("node").alias(f"{x}_node"), F.col("root").alias(f"{x}_root"))
         named = join_small(named, side, F.col(x) == F.col(f"{x}_node"), "left", many_roots, BROADCAST_ROWS).withColumn(f"{x}_group", F.coalesce(f"{x}_root", x))
-    both = cut(named.select(F.explode(F.array(F.struct(F.col("a_group").alias("u"), F.col("b_group").alias("v")), F.struct(F.col("b_group").alias("u"), F.col("a_group").alias("v")))).alias("e")).select("e.u", "e.v").distinct())
-    step = both.groupBy(F.col("u").alias("w")).agg(F.min(F.least("u", "v")).alias("l"))
-    labels = cut(both.join(step, both["v"] == step["w"]).groupBy(F.col("u").alias("node")).agg(F.min(F.least("u", "l")).alias("root")))
+    labels = _contracted(named.select(F.col("a_group").alias("u"), F.col("b_group").alias("v")))
     tokens = sketched(still_apart(tokens.select("token", "fp", "n", "weight", "group"), labels)).drop("sets")
 
     other = tokens.select(F.col("token").alias("o_token"), F.col("fp").alias("b"), F.col("n").alias("m"), F.col("group").alias("o_group"), *[F.col(p).alias(f"o_{p}") for p in sketch])

@@ -596,6 +596,16 @@ def test_parts_of_a_frequent_shingle_meet(spark, make_docs):
         assert len({of[i] for i in range(120)}) == 1 and len(set(of.values())) == 41
 
 
+def test_contracted_names_are_of_one_component(spark):
+    edges = [(i, i + 1) for i in range(12)] + [(100 + i, 100) for i in range(1, 60)] + [(500, 500)]
+    frame = spark.createDataFrame(edges, "u long, v long")
+    got = {r.node: r.root for r in simhash_dedup.shingle_sets._contracted(frame).collect()}
+    assert set(got) == set(range(13)) | set(range(100, 160))
+    assert {r for n, r in got.items() if n >= 100} == {100} and all(r < 13 for n, r in got.items() if n < 13)
+    assert got[6] == 0 and len({r for n, r in got.items() if n < 13}) < 13
+    assert simhash_dedup.shingle_sets._contracted(frame.filter("u < 0")).count() == 0
+
+
 def test_shingle_sets_by_force():
     import pyarrow as pa
 
@@ -625,6 +635,17 @@ def test_a_parity_sketch_differs_in_no_more_bits_than_the_sets():
             assert bits <= apart and bits % 2 == apart % 2 and len(sets.parity(base)) == sets.PARITY
 
 
+def test_wide_sketches_of_any_two_widths_differ_in_no_more_bits_than_the_sets():
+    rng = np.random.default_rng(4)
+    sets = simhash_dedup.shingle_sets
+    base = np.unique(rng.integers(0, 1 << 64, 6_000, np.uint64))
+    for a, b in ((0, 0), (0, 1), (1, 500), (500, 513), (513, 600), (2_000, 2_400), (5_000, 6_000)):
+        for other in (base[:b], base[b // 3 : b], rng.integers(0, 1 << 64, b, np.uint64)):
+            bits = sets._differing(sets.wide_parity(base[:a]).tobytes(), sets.wide_parity(other).tobytes())
+            apart = len(np.setxor1d(base[:a], other))
+            assert bits <= apart and bits % 2 == apart % 2 and bits * 4 >= min(apart, 512)
+
+
 def test_sets_that_stars_leave_apart_are_linked_by_similarity(spark, make_docs):
     rng = random.Random(12)
     words = [f"w{i}" for i in range(90)]
