@@ -700,7 +700,7 @@ class Database:
         rows = self._matches(t, s.alias, items, e, scope, source, s)
         old_key = ["__old_" + k for k in key]
         if s.source is not None:
-            rows = self._one(rows, old_key, last=False)
+            rows = self._one(rows, [old_key], last=False)
         rows = self._stage(self._generated(t, rows))
         rows = self._fire(low, "UPDATE", "BEFORE", rows, depth, set(put))
         self._validate(t, rows)

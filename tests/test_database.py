@@ -34,6 +34,16 @@ def test_insert_update_delete(db):
     assert db.execute("DELETE FROM t") == 3 and db.scalar("SELECT count(*) FROM t") == 0
 
 
+def test_update_from(db):
+    filled(db)
+    db.execute("CREATE TABLE src (k INTEGER PRIMARY KEY, id INTEGER, v INTEGER); INSERT INTO src VALUES (1, 2, 7), (2, 2, 7), (3, 4, 9), (4, 99, 1)")
+    assert db.execute("UPDATE t SET val = src.v FROM src WHERE src.id = t.id") == 2
+    assert rows(db, "SELECT id, val FROM t ORDER BY id") == [(1, 10), (2, 7), (3, 30), (4, 9), (5, 50)]
+    db.execute("CREATE TABLE p (a INTEGER, b INTEGER, v INTEGER, PRIMARY KEY (a, b)); INSERT INTO p VALUES (1, 1, 0), (1, 2, 0), (2, 1, 0)")
+    assert db.execute("UPDATE p SET v = src.v FROM src WHERE src.id = p.a * 2") == 3
+    assert rows(db, "SELECT a, b, v FROM p ORDER BY a, b") == [(1, 1, 7), (1, 2, 7), (2, 1, 9)]
+
+
 def test_constraints(db):
     filled(db)
     for bad in (
