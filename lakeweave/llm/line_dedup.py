@@ -73,14 +73,17 @@ def _leaf(line: Column) -> Column:
 
 
 def _lines(docs: DataFrame, least_words: int, whole: bool = False) -> DataFrame:
-    """id, hash, lines: (exact, leaf, and, if ``whole``, the masked line) of each document's lines."""
+    """id, hash, lines: (exact, leaf) of each document's lines; if ``whole``, id, hash, exact, leaf, line (masked): a row for each line."""
     d = pick(docs, "doc_id", "text")
 
     def keys(line: Column) -> Column:
         return F.struct(_exact(line, least_words).alias("exact"), _leaf(line).alias("leaf"), *([line.alias("line")] if whole else []))
 
     lines = F.filter(F.transform(masked_lines(d["text"]), keys), lambda x: x["exact"].isNotNull())
-    return d.select(d["doc_id"].cast("long").alias("id"), F.xxhash64("text").alias("hash"), lines.alias("lines"))
+    row = [d["doc_id"].cast("long").alias("id"), F.xxhash64("text").alias("hash")]
+    if whole:  # exploded as an expression: of a named column a filter on its size would be pushed down and mask the texts twice
+        return d.select(*row, F.explode(lines).alias("x")).select("id", "hash", "x.*")
+    return d.select(*row, lines.alias("lines"))
 
 
 def _place(id_: str = "id") -> Column:
@@ -98,7 +101,7 @@ def _general(docs: DataFrame, keyed: DataFrame, least_docs: int, least_words: in
     leaves = keyed.select("vote", F.explode("lines").alias("x")).select("vote", "x.exact", "x.leaf").filter("leaf IS NOT NULL")
     leaves = leaves.groupBy("leaf").agg(F.sum("vote").alias("n"), F.min("exact").alias("low"), F.max("exact").alias("high"))
     leaves = _small(leaves.filter((F.col("n") > least_docs - 0.5) & (F.col("low") != F.col("high"))).select(F.col("leaf").alias("c_leaf")))
-    found = _lines(docs, least_words, whole=True).select("id", "hash", F.explode("lines").alias("x")).select("id", "hash", "x.*")
+    found = _lines(docs, least_words, whole=True)
     found = found.join(leaves, found["leaf"] == leaves["c_leaf"], "left_semi")
     found = cut(found.groupBy("id", "hash", "exact", "leaf").agg(F.first("line").alias("line")))
     # Each different line once, and in how many documents it is.

@@ -662,3 +662,10 @@ def test_sets_that_stars_leave_apart_are_linked_by_similarity(spark, make_docs):
                 least = [min(a, b) if x in (a, b) else x for x in least]
     found = {r.doc_id: r.component_id for r in simhash_dedup.near_duplicates_by_jaccard(docs).collect()}
     assert found == dict(enumerate(least)) and len(set(least)) > 3
+
+
+def test_texts_are_masked_once(spark, sample):
+    """A filter on the exploded lines must not be pushed below the masking, which would then be done anew for it."""
+    plan = line_dedup._lines(sample, 1, whole=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" in plan and "Filter" not in plan
+    assert plan.count("regexp_replace(") <= 3
