@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Most edges (16 bytes each) whose components one task finds; more are joined by rounds over the whole cluster.
+ONE_TASK = 1_000_000
 #: A word: a run of anything but space, tab, line feed, vertical tab, form feed and return.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -39,6 +44,44 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver free what is done with.
+
+    Spark drops broadcasts, shuffle and checkpoint files, and what the driver
+    knows of them, only once the driver's JVM has collected their handles; an
+    operator of many small jobs would first fill the whole heap with them.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def least_of_component(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different nodes of the edges (a, b), sorted, and the least node of each one's component."""
+    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    a, b = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while len(a):
+        low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+        apart = low != high
+        a, b = a[apart], b[apart]
+        np.minimum.at(label, high[apart], low[apart])
+        while (label[label] != label).any():
+            label = label[label]
+    return nodes, nodes[label]
+
+
+def in_one_task(edges: DataFrame) -> DataFrame:
+    """node, root for every node of ``edges`` (two long columns), root being the least node of its component; found by one task."""
+
+    def run(batches):
+        pairs = [(x.column(0).to_numpy(), x.column(1).to_numpy()) for x in batches]
+        if pairs:
+            nodes, roots = least_of_component(*(np.concatenate(x) for x in zip(*pairs, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots)], ["node", "root"])
+
+    return edges.coalesce(1).mapInArrow(run, "node long, root long")
+
+
 def join_small(left: DataFrame, right: DataFrame, on, how: str, rows: int, most: int) -> DataFrame:
     """Join with a broadcast of ``right`` if its counted ``rows`` are within ``most``, else by shuffle."""
     return left.join(F.broadcast(right) if rows <= most else right, on, how)

@@ -29,7 +29,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeweave.llm.common import cut, join_small, pick
+from lakeweave.llm import common
+from lakeweave.llm.common import cut, in_one_task, join_small, pick, release
 
 SHINGLE = 5
 TENTHS = 8
@@ -44,7 +45,7 @@ CHUNK_BYTES = 1 << 19
 FLUSH_TOKENS = 4_000_000
 LONG_WORD = 64
 #: Most narrow rows (16 bytes each) that are broadcast, and most sketches (8 bytes and PARITY words each).
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 200_000
 BROADCAST_SKETCHES = 100_000
 #: 64-bit words of a parity sketch.
 PARITY = 8
@@ -304,6 +305,7 @@ def _similar(pairs: DataFrame, prints: DataFrame, docs: DataFrame, shingle: int,
 
     Pairs whose wide sketches differ in more bits than similar sets can are left out before texts are met.
     """
+    release(docs.sparkSession)
     members = pairs.select(F.col("a").alias("m")).union(pairs.select(F.col("b").alias("m"))).distinct()
     met = join_small(prints, members, prints["fp"] == members["m"], "left_semi", 2 * pairs.count(), BROADCAST_ROWS)
     hashes = cut(met.groupBy("fp").agg(F.min("text_hash").alias("h"), F.min("n").alias("n"), F.min("wide").alias("wide")))
@@ -340,11 +342,15 @@ def _similar(pairs: DataFrame, prints: DataFrame, docs: DataFrame, shingle: int,
 def _contracted(edges: DataFrame) -> DataFrame:
     """node, root for every node of ``edges`` (u, v): nodes of one root are of one component.
 
-    Each round names a node after the least node within two steps, and goes on with the edges between names.
-    A long chain keeps several roots after ``NAMINGS`` rounds, which costs its sets a comparison and changes no link.
+    One task names the nodes of few edges. Of more, each round names a node after the least node within two steps,
+    and goes on with the edges between names; a long chain keeps several roots after ``NAMINGS`` rounds, which costs its sets a comparison and changes no link.
     """
+    edges = cut(edges.filter("u <> v").select("u", "v").distinct())
+    if edges.count() <= common.ONE_TASK:
+        return cut(in_one_task(edges))
     found = None
     for _ in range(NAMINGS):
+        release(edges.sparkSession)
         both = cut(edges.filter("u <> v").select(F.explode(F.expr("array(struct(u, v), struct(v as u, u as v))")).alias("e")).select("e.u", "e.v").distinct())
         if found is not None and both.isEmpty():
             break

@@ -38,8 +38,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeweave.llm import shingle_sets
-from lakeweave.llm.common import cut, join_keyed, join_small, pick
+from lakeweave.llm import common, shingle_sets
+from lakeweave.llm.common import cut, in_one_task, join_keyed, join_small, pick, release
 
 SHINGLE = 4
 DIFFER = 4
@@ -55,8 +55,8 @@ TILE = 65_536
 OVERFULL = 8_192
 #: Vantage points tried at a node of a tree.
 TRIED = 6
-#: Most dropped ids that are broadcast (16 bytes each); more are joined by shuffle.
-BROADCAST_IDS = 500_000
+#: Most dropped ids that are broadcast (16 bytes each, some 100 on the driver's heap); more are joined by shuffle.
+BROADCAST_IDS = 200_000
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1).astype(np.int64)
@@ -255,16 +255,21 @@ def links(distinct: DataFrame, differ: int = DIFFER, sample: int = SAMPLE, leaf:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, root for every node of the undirected ``edges`` (a, b); root is the least node of its component.
+    """node, root for every node of the undirected ``edges`` (a, b) but the roots; root is the least node of its component.
 
-    Alternating large-star and small-star rounds until nothing changes; every
+    Up to ``ONE_TASK`` edges are joined by one task: a round is a dozen jobs,
+    whose plans and threads are what fills the driver. More go by alternating
+    large-star and small-star rounds until nothing changes; every
     round is one table in the checkpoint folder. The neighbourhood's least node
     is a map-side combined aggregate, never a collected list, and hubs meet
     theirs by broadcast.
     """
     edges = cut(edges.filter("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct())
+    if edges.count() <= common.ONE_TASK:
+        return cut(in_one_task(edges).filter("node <> root"))
     seen = None
     while True:
+        release(edges.sparkSession)
         both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         least = cut(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("rows")).select(F.col("u").alias("w"), F.least("u", "m").alias("m"), "rows"))
         large = join_keyed(both, least, "u", "w", "inner", "rows").filter("v > u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).filter("lo <> hi").distinct()
@@ -339,6 +344,7 @@ def keep_one_by_jaccard(docs: DataFrame, shingle: int = shingle_sets.SHINGLE, te
 def _first_rows(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The first row of each class of ``found``."""
     names = docs.columns
+    release(docs.sparkSession)
     # A row's key is its doc_id and text hash; the first key of each group stays.
     keys = cut(found.groupBy("class_id", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("rows")))
     order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "text_hash")

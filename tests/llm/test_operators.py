@@ -669,3 +669,22 @@ def test_texts_are_masked_once(spark, sample):
     plan = line_dedup._lines(sample, 1, whole=True)._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate explode" in plan and "Filter" not in plan
     assert plan.count("regexp_replace(") <= 3
+
+
+def test_components_by_one_task_and_by_rounds(spark, monkeypatch):
+    """Few edges take no rounds, whose many jobs fill the driver; either way names the same."""
+    rng = random.Random(12)
+    edges = [(i, i + 1) for i in range(-20, 20)] + [(rng.randrange(1000, 1400), rng.randrange(1000, 1400)) for _ in range(250)] + [(99, i) for i in range(50, 98)] + [(7000, 7000)]
+    frame = spark.createDataFrame(edges, "a long, b long")
+    rounds = []
+    monkeypatch.setattr(simhash_dedup, "release", lambda session: rounds.append(session))
+    got = {r.node: r.root for r in simhash_dedup.components(frame).collect()}
+    assert not rounds
+    monkeypatch.setattr(simhash_dedup.common, "ONE_TASK", 0)
+    assert got == {r.node: r.root for r in simhash_dedup.components(frame).collect()} and rounds
+    label = {x: x for e in edges for x in e}
+    for _ in range(len(label)):
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    assert got == {x: y for x, y in label.items() if x != y}
+    assert simhash_dedup.components(frame.filter("a > 99999")).count() == 0
