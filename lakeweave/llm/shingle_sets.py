@@ -57,6 +57,8 @@ NAMINGS = 3
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SPACE = bytes(b in b"\t\n\v\f\r " for b in range(256))
+_BITS = ((np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1).astype(np.float64)
+_OCTETS = 256 * np.arange(8)
 _MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _PLACES = np.random.default_rng(20).integers(0, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -135,6 +137,13 @@ def set_hash(tokens: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(tokens.tobytes(), 42)
 
 
+def simhash(tokens: np.ndarray) -> int:
+    """The unsigned SimHash of a set of shingles: a bit is 1 if set in over half of them; zero if there is none."""
+    octets = tokens.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8) + _OCTETS
+    ones = np.bincount(octets.ravel(), minlength=2048).reshape(8, 256) @ _BITS
+    return int(np.packbits(2 * ones.ravel() > len(tokens), bitorder="little").view("<u8")[0])
+
+
 def parity(tokens: np.ndarray, bits: int = 64 * PARITY) -> np.ndarray:
     """The parity sketch of a set of shingles, of a power of two of bits."""
     odd = np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
@@ -158,9 +167,13 @@ def _typed(docs: DataFrame) -> DataFrame:
     return d.select(d["doc_id"].cast("long"), F.xxhash64(d["text"].cast("string")).alias("text_hash"), d["text"].cast("string"))
 
 
-def set_prints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (hash of the set of shingles), text_hash, n (its size), wide (its wide parity sketch), p0, p1 and so on (its parity sketch): one row per row of ``docs``."""
+def set_prints(docs: DataFrame, shingle: int = SHINGLE, hashed: bool = False) -> DataFrame:
+    """doc_id, fp (hash of the set of shingles), text_hash, n (its size), wide (its wide parity sketch), p0, p1 and so on (its parity sketch): one row per row of ``docs``.
+
+    ``hashed``: and simhash, the 64 bits of the set's SimHash as a signed long.
+    """
     sketch = [f"p{i}" for i in range(PARITY)]
+    more = ["simhash"] if hashed else []
 
     def run(batches):
         for batch in batches:
@@ -168,9 +181,11 @@ def set_prints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             fps = pa.array(np.array([set_hash(s) for s in sets], np.uint64).view(np.int64))
             words = np.array([parity(s) for s in sets], np.int64).reshape(-1, PARITY)
             columns = [batch.column("doc_id"), fps, batch.column("text_hash"), pa.array([len(s) for s in sets], pa.int32()), pa.array([wide_parity(s).tobytes() for s in sets], pa.binary()), *[pa.array(words[:, i].copy()) for i in range(PARITY)]]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "text_hash", "n", "wide", *sketch])
+            if hashed:
+                columns.append(pa.array(np.array([simhash(s) for s in sets], np.uint64).view(np.int64)))
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "text_hash", "n", "wide", *sketch, *more])
 
-    return _typed(docs).mapInArrow(run, "doc_id long, fp long, text_hash long, n int, wide binary, " + ", ".join(f"{p} long" for p in sketch))
+    return _typed(docs).mapInArrow(run, "doc_id long, fp long, text_hash long, n int, wide binary, " + ", ".join(f"{p} long" for p in [*sketch, *more]))
 
 
 def _frequent(docs: DataFrame, rows: int, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -367,10 +382,10 @@ def _contracted(edges: DataFrame) -> DataFrame:
     return found
 
 
-def similar_links(prints: DataFrame, docs: DataFrame, components, shingle: int = SHINGLE, tenths: int = TENTHS, task_tokens: int = TASK_TOKENS, hot_rows: int = HOT_ROWS) -> DataFrame:
+def similar_links(prints: DataFrame, docs: DataFrame, components, shingle: int = SHINGLE, tenths: int = TENTHS, task_tokens: int = TASK_TOKENS, hot_rows: int = HOT_ROWS, candidates: DataFrame | None = None) -> DataFrame:
     """Links (a, b) between the set hashes of ``prints`` whose closure is that of all pairs of Jaccard similarity ``tenths`` / 10 or more.
 
-    ``components`` gives (node, root) of links.
+    ``components`` gives (node, root) of links. ``candidates`` (a, b; a < b) are pairs found by other means, which are decided first.
     """
     rows, total = prints.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     met = cut(_meetings(docs, rows, total * (10 - tenths) / 10, shingle, tenths, task_tokens, hot_rows))
@@ -387,6 +402,9 @@ def similar_links(prints: DataFrame, docs: DataFrame, components, shingle: int =
     between = centres.join(least, F.col("token") == F.col("s_token")).filter("a <> s_a")
     between = between.select(F.col("s_a").alias("a"), F.col("a").alias("b"), F.col("s_n").alias("n"), F.col("n").alias("m"), F.lit(1).alias("count")).filter(alike)
     stars = possible(met.filter("kind = 0").select("a", "b", "n", "m", "count").union(between))
+    if candidates is not None:
+        stars = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        stars = cut(stars.union(candidates.select("a", "b")).distinct())
     stars = _similar(stars, prints, docs, shingle, tenths)
     sketch = [f"p{i}" for i in range(PARITY)]
     # Sets of similarity t differ in at most (n + m) * (1 - t) / (1 + t) shingles.

@@ -20,9 +20,11 @@ join the forests into components.
 The trees' shape comes from a bounded hash sample of the fingerprints
 (``SAMPLE``); it steers cost only, never which links are found.
 
-``keep_one_by_jaccard`` is the pipeline's stage. Texts of 5-word Jaccard
-similarity 0.8 differ in up to a dozen or more bits and no useful radius holds
-them all, so its links come from the shingle sets themselves, exactly (module
+``keep_one_by_jaccard`` is the pipeline's stage. The trees link the SimHashes of
+the texts' sets of 5-word shingles, and the sets themselves decide which of
+those links are of Jaccard similarity 0.8 or more. Texts that similar differ in
+up to a dozen or more bits and no useful radius holds them all, so the links
+that the SimHashes miss are then found from the sets, exactly (module
 ``shingle_sets``).
 
 Defined results: null, empty and wordless texts have fingerprint zero and are
@@ -310,9 +312,26 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, differ: int = DIFFE
 
 def near_duplicates_by_jaccard(docs: DataFrame, shingle: int = shingle_sets.SHINGLE, tenths: int = shingle_sets.TENTHS) -> DataFrame:
     """doc_id, fp (hash of the set of shingles), text_hash, class_id, component_id: one row per row of ``docs``."""
-    prints = cut(shingle_sets.set_prints(docs, shingle))
+    return _by_jaccard(docs, cut(shingle_sets.set_prints(docs, shingle)), None, shingle, tenths)
+
+
+def _by_jaccard(docs: DataFrame, prints: DataFrame, candidates: DataFrame | None, shingle: int, tenths: int) -> DataFrame:
     distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("rows")))
-    return _classed(prints.select("doc_id", "fp", "text_hash"), distinct, shingle_sets.similar_links(prints, docs, components, shingle, tenths))
+    edges = shingle_sets.similar_links(prints, docs, components, shingle, tenths, candidates=candidates)
+    return _classed(prints.select("doc_id", "fp", "text_hash"), distinct, edges)
+
+
+def simhash_candidates(prints: DataFrame, differ: int = DIFFER, sample: int = SAMPLE, leaf: int = LEAF) -> DataFrame:
+    """a, b (a < b): pairs of the set hashes ``fp`` whose closure is that of all pairs with ``simhash`` within ``differ`` bits, by the vantage-point trees."""
+    sets = prints.groupBy("fp").agg(F.min("simhash").alias("simhash"))
+    sets = cut(sets)
+    centres = cut(sets.groupBy("simhash").agg(F.min("fp").alias("centre"), F.count(F.lit(1)).alias("rows")))
+    near = links(centres.select(F.col("simhash").alias("fp")), differ, sample, leaf)
+    a, b = (centres.select(F.col("simhash").alias(f"{x}_hash"), F.col("centre").alias(x)) for x in "ab")
+    between = near.toDF("x", "y").join(a, F.col("x") == F.col("a_hash")).join(b, F.col("y") == F.col("b_hash")).select("a", "b")
+    several = cut(centres.filter("rows > 1").select(F.col("simhash").alias("c_hash"), "centre", "rows"))
+    equal = join_keyed(sets, several, "simhash", "c_hash", "inner", "rows").filter("fp <> centre").select(F.col("centre").alias("a"), F.col("fp").alias("b"))
+    return cut(between.union(equal).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
 def with_clusters(docs: DataFrame) -> DataFrame:
@@ -337,8 +356,13 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, differ: int = DIFFER, samp
 
 
 def keep_one_by_jaccard(docs: DataFrame, shingle: int = shingle_sets.SHINGLE, tenths: int = shingle_sets.TENTHS) -> DataFrame:
-    """As ``keep_one``, with groups of texts linked by Jaccard similarity ``tenths`` / 10 or more; texts without a word are one group."""
-    return _first_rows(docs, near_duplicates_by_jaccard(docs, shingle, tenths))
+    """As ``keep_one``, with groups of texts linked by Jaccard similarity ``tenths`` / 10 or more; texts without a word are one group.
+
+    SimHashes within ``DIFFER`` bits, found by the vantage-point trees, are the first candidates; whole sets of shingles decide.
+    """
+    prints = cut(shingle_sets.set_prints(docs, shingle, hashed=True))
+    found = _by_jaccard(docs, prints, simhash_candidates(prints), shingle, tenths)
+    return _first_rows(docs, found)
 
 
 def _first_rows(docs: DataFrame, found: DataFrame) -> DataFrame:

@@ -2,8 +2,12 @@
 
 import random
 from collections import Counter
+from itertools import combinations
+
+import pyarrow as pa
 
 import corpus_pipeline
+from lakeweave.llm import shingle_sets, simhash_dedup
 from tests.llm.conftest import SF
 
 
@@ -79,3 +83,36 @@ def test_lines_of_any_length_go(spark, make_docs):
     got = {r.doc_id: r.text for r in corpus_pipeline.dedup_lines(spark, docs, "").collect()}
     assert got[0].count("\n") == 5 and got[1] == "document b has this line\n\n\na text" and got[2] == "document c has this line\n\n\na a text"
     assert got[3].endswith(long) and got[4] == "quite another beginning\na line of two" and got[5].endswith("\na line of two")
+
+
+def test_near_dedup_goes_by_simhash_trees(spark, sample, monkeypatch):
+    """The stage asks the vantage-point trees for its first candidates and lets go of what it is done with."""
+    real, freed, trees = simhash_dedup.links, [], []
+    monkeypatch.setattr(simhash_dedup, "links", lambda *a, **k: trees.append(a) or real(*a, **k))
+    for module in (simhash_dedup, shingle_sets):
+        monkeypatch.setattr(module, "release", lambda session: freed.append(session))
+    corpus_pipeline.dedup_documents(spark, sample, SF).count()
+    assert len(trees) == 1 and len(freed) >= 4
+    prints = shingle_sets.set_prints(sample, hashed=True)
+    hashes = {r.fp: r.simhash % (1 << 64) for r in prints.select("fp", "simhash").distinct().collect()}
+    for r in prints.join(sample.select("doc_id", "text"), "doc_id").limit(60).collect():
+        tokens = [int(t) for t in shingle_sets.shingle_sets(pa.array([r.text]))[0]]
+        assert hashes[r.fp] == sum(1 << b for b in range(64) if 2 * sum(t >> b & 1 for t in tokens) > len(tokens))
+    root = {fp: fp for fp in hashes}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in combinations(hashes, 2):
+        if (hashes[a] ^ hashes[b]).bit_count() <= simhash_dedup.DIFFER:
+            root[find(a)] = find(b)
+    pairs = simhash_dedup.simhash_candidates(prints).collect()
+    assert all(r.a < r.b and find(r.a) == find(r.b) for r in pairs)
+    classes = len({find(x) for x in hashes})
+    for r in pairs:
+        root.setdefault(("own", r.a), ("own", r.a))
+        root.setdefault(("own", r.b), ("own", r.b))
+        root[find(("own", r.a))] = find(("own", r.b))
+    assert classes == len({find(("own", x)) if ("own", x) in root else x for x in hashes})
