@@ -6,12 +6,15 @@ words. In one order of all shingles, two sets of similarity tenths / 10 or more
 share one of the first 1 - tenths / 10 of theirs, which loses no pair.
 Shingles frequent in a sample come late in the order, which steers cost only.
 
-The first shingles travel as packed arrays, dealt out by their upper bits;
+The first shingles travel as packed arrays, dealt out by their lower bits;
 those met in one set only end there. In each, every set meets the least set of
 each shingle; what those pairs share bounds their similarity, and whole texts
 decide. Then all pairs that share a first shingle and are not linked yet are
 decided likewise, so that a large group of near copies costs no pair
-enumeration. Each set has a parity sketch, in which a bit tells whether an odd
+enumeration. For these pairs a set's first shingles are put in order once more,
+by the exact number of sets that each is met in: two sets share no more of them
+than the lesser has from the first common one on, and meet in that one only
+(``BEFORE``), so that a pair makes few rows however much it shares. Each set has a parity sketch, in which a bit tells whether an odd
 number of its shingles fall there: the bits in which two sketches differ are
 no more than the shingles in which the sets differ, so that most pairs that
 are not similar enough make no row. Before that, the sets of a shingle that many
@@ -26,7 +29,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeweave.llm import common
@@ -54,6 +57,8 @@ CROWD = 8
 DRAWN = 3
 #: Rounds of naming the sets so linked.
 NAMINGS = 3
+#: Shingles before one that are looked at to tell whether two sets have met already.
+BEFORE = 4
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SPACE = bytes(b in b"\t\n\v\f\r " for b in range(256))
@@ -233,14 +238,14 @@ def _meetings(docs: DataFrame, rows: int, total: int, shingle: int, tenths: int,
             t = np.concatenate(tokens)
             own = np.repeat(np.arange(len(fps)), counts)
             fp, size = np.array(fps, np.uint64), np.array(sizes, np.int32)
-            bucket = (t >> np.uint64(64 - bits) if bits else np.zeros(len(t), np.uint64)).astype(np.int64)
+            bucket = (t & np.uint64((1 << bits) - 1)).astype(np.int64)  # equal ranks go by hash, so the upper bits of first shingles are mostly zero
             salt = np.zeros(len(t), np.int64)
             if len(frequent) and parts.max() > 1:
                 at = np.minimum(np.searchsorted(frequent, t), len(frequent) - 1)
                 hot = (frequent[at] == t) & (parts[at] > 1)
                 salt[hot] = 1 + (fp[own[hot]] % parts[at[hot]].astype(np.uint64)).astype(np.int64)
             key = bucket << 24 | salt
-            low = (t >> np.uint64(32 - bits) if bits < 32 else t).astype(np.uint32)
+            low = (t >> np.uint64(bits)).astype(np.uint32)
             order = np.argsort(key, kind="stable")
             starts = np.flatnonzero(np.concatenate(([True], np.diff(key[order]) != 0)))
             for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(order)], strict=True):
@@ -391,11 +396,13 @@ def similar_links(prints: DataFrame, docs: DataFrame, components, shingle: int =
     met = cut(_meetings(docs, rows, total * (10 - tenths) / 10, shingle, tenths, task_tokens, hot_rows))
     alike = f"10 * least(n, m) >= {tenths} * greatest(n, m)"
 
-    def possible(shared: DataFrame) -> DataFrame:
+    def enough(count: str) -> str:
         # Beyond the first shingles that meet, two texts share at most what follows the first ones of the larger.
-        most = f"count + ({tenths} * greatest(n, m) + 9) div 10 - 1"
+        return f"({count} + ({tenths} * greatest(n, m) + 9) div 10 - 1) * {10 + tenths} >= (n + m) * {tenths}"
+
+    def possible(shared: DataFrame) -> DataFrame:
         counted = shared.groupBy("a", "b", "n", "m").agg(F.sum("count").alias("count"))
-        return cut(counted.filter(f"({most}) * {10 + tenths} >= (n + m) * {tenths}").select("a", "b"))
+        return cut(counted.filter(enough("count")).select("a", "b"))
 
     centres = met.filter("kind = 2").select("token", "a", "n")
     least = centres.groupBy("token").agg(F.min(F.struct("a", "n")).alias("s")).select(F.col("token").alias("s_token"), F.col("s.a").alias("s_a"), F.col("s.n").alias("s_n"))
@@ -418,6 +425,12 @@ def similar_links(prints: DataFrame, docs: DataFrame, components, shingle: int =
         apart = apart.filter("low <> high").groupBy("x0", "x1", "sets").agg(F.min("token").alias("t"), F.sum("weight").alias("weight")).select("t", "sets", "weight")
         return cut(tokens.drop("weight").join(apart, tokens["token"] == apart["t"]).drop("t"))
 
+    def in_order(tokens: DataFrame, before: int = 0) -> DataFrame:
+        """And rest: the weight of the set's shingles from this one on, those of the fewest sets coming first; b0 and so on: the ones right before it."""
+        order = Window.partitionBy("fp").orderBy("sets", "token")
+        rest = F.sum("weight").over(Window.partitionBy("fp")) - F.sum("weight").over(order.rowsBetween(Window.unboundedPreceding, 0)) + F.col("weight")
+        return tokens.select("*", rest.alias("rest"), *[F.lag("token", i + 1).over(order).alias(f"b{i}") for i in range(before)])
+
     roots = components(stars)
     roots = cut(roots.union(roots.select(F.col("root").alias("node"), "root").distinct()))
     tokens = still_apart(met.filter("kind = 1").select("token", F.col("a").alias("fp"), "n", F.lit(1).cast("long").alias("weight"), F.col("a").alias("group")), roots)
@@ -429,14 +442,14 @@ def similar_links(prints: DataFrame, docs: DataFrame, components, shingle: int =
         return join_small(tokens, sketches, tokens[fp] == sketches["s_fp"], "inner", many, BROADCAST_SKETCHES).drop("s_fp")
 
     # Where many sets share a shingle, each meets some drawn for that shingle first, which links most of those that can be.
-    crowd = tokens.filter(F.col("sets") > CROWD)
+    crowd = in_order(tokens).filter(F.col("sets") > CROWD)
     draws = [F.xxhash64("fp", "token", F.lit(i)) for i in range(DRAWN)]
     least = crowd.groupBy(F.col("token").alias("o_token")).agg(*[F.min(d).alias(f"l{i}") for i, d in enumerate(draws)])
     of_draw = F.coalesce(*[F.when(d == F.col(f"l{i}"), True) for i, d in enumerate(draws)])
     drawn = crowd.join(least, F.col("token") == F.col("o_token")).filter(of_draw)
-    drawn = sketched(drawn.select("o_token", F.col("fp").alias("b"), F.col("n").alias("m"), F.col("group").alias("o_group")), "b")
-    drawn = drawn.select("o_token", "b", "m", "o_group", *[F.col(p).alias(f"o_{p}") for p in sketch])
-    pairs = sketched(crowd).join(drawn, (F.col("token") == F.col("o_token")) & (F.col("group") != F.col("o_group"))).filter(alike).filter(near)
+    drawn = sketched(drawn.select("o_token", F.col("fp").alias("b"), F.col("n").alias("m"), F.col("group").alias("o_group"), F.col("rest").alias("o_rest")), "b")
+    drawn = drawn.select("o_token", "b", "m", "o_group", "o_rest", *[F.col(p).alias(f"o_{p}") for p in sketch])
+    pairs = sketched(crowd).join(drawn, (F.col("token") == F.col("o_token")) & (F.col("group") != F.col("o_group"))).filter(alike).filter(enough("least(rest, o_rest)")).filter(near)
     pairs = cut(pairs.select(F.least("fp", "b").alias("a"), F.greatest("fp", "b").alias("b")).distinct())
     met_here = _similar(pairs, prints, docs, shingle, tenths)
     links = stars.union(met_here)
@@ -446,9 +459,14 @@ def similar_links(prints: DataFrame, docs: DataFrame, components, shingle: int =
         side = roots.select(F.col("node").alias(f"{x}_node"), F.col("root").alias(f"{x}_root"))
         named = join_small(named, side, F.col(x) == F.col(f"{x}_node"), "left", many_roots, BROADCAST_ROWS).withColumn(f"{x}_group", F.coalesce(f"{x}_root", x))
     labels = _contracted(named.select(F.col("a_group").alias("u"), F.col("b_group").alias("v")))
-    tokens = sketched(still_apart(tokens.select("token", "fp", "n", "weight", "group"), labels)).drop("sets")
+    tokens = sketched(in_order(still_apart(tokens.select("token", "fp", "n", "weight", "group"), labels), BEFORE)).drop("sets", "weight")
 
-    other = tokens.select(F.col("token").alias("o_token"), F.col("fp").alias("b"), F.col("n").alias("m"), F.col("group").alias("o_group"), *[F.col(p).alias(f"o_{p}") for p in sketch])
+    # Sets of whose last shingles before this one two are the same have met there, and had more left to share.
+    befores = [f"b{i}" for i in range(BEFORE)]
+    met_before = " OR ".join(f"{x} <=> o_{y} AND {x} IS NOT NULL" for x in befores for y in befores)
+    other = {"token": "o_token", "fp": "b", "n": "m"} | {c: f"o_{c}" for c in ["group", "rest", *befores, *sketch]}
+    other = tokens.select(*[F.col(c).alias(name) for c, name in other.items()])
     pairs = tokens.join(other, (F.col("token") == F.col("o_token")) & (F.col("fp") < F.col("b")) & (F.col("group") != F.col("o_group")))
-    pairs = possible(pairs.filter(alike).filter(near).select(F.col("fp").alias("a"), "b", "n", "m", F.col("weight").alias("count")))
+    pairs = pairs.filter(alike).filter(enough("least(rest, o_rest)")).filter(f"NOT ({met_before})").filter(near)
+    pairs = cut(pairs.select(F.col("fp").alias("a"), "b").distinct())
     return links.union(_similar(pairs, prints, docs, shingle, tenths))

@@ -646,6 +646,50 @@ def test_wide_sketches_of_any_two_widths_differ_in_no_more_bits_than_the_sets():
             assert bits <= apart and bits % 2 == apart % 2 and bits * 4 >= min(apart, 512)
 
 
+def join_rows(spark, word):
+    """Rows made by the joins whose plan nodes speak of ``word``, of all that the session keeps."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    seq = lambda s: (s.apply(i) for i in range(s.size()))
+    total = 0
+    for run in seq(store.executionsList()):
+        values = store.executionMetrics(run.executionId())
+        for node in seq(store.planGraph(run.executionId()).allNodes()):
+            if "Join" in node.name() and word in node.desc():
+                ids = [m.accumulatorId() for m in seq(node.metrics()) if m.name() == "number of output rows"]
+                total += sum(int(values.apply(i).replace(",", "")) for i in ids if values.contains(i))
+    return total
+
+
+def test_long_sets_that_share_much_make_few_rows(spark, make_docs):
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(1_600)]
+    texts = []
+    for _ in range(40):  # similarities around 0.8, and hundreds of shared first shingles, each met in other sets
+        texts.append([w if rng.random() > 0.0135 else f"x{rng.randrange(10**6)}" for w in words])
+    docs = make_docs(*[(i, " ".join(t)) for i, t in enumerate(texts)])
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    least = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+                a, b = sorted((least[i], least[j]))
+                least = [a if x == b else x for x in least]
+    before = join_rows(spark, "o_token")
+    got = {r.doc_id: r.component_id for r in simhash_dedup.near_duplicates_by_jaccard(docs).collect()}
+    assert [got[i] for i in range(len(sets))] == least and 1 < len(set(least)) < 40
+    assert join_rows(spark, "o_token") - before < 10 * 40 * 39 // 2
+
+
+def test_first_shingles_are_dealt_evenly(spark, make_docs):
+    rng = random.Random(22)
+    docs = make_docs(*[(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(200))) for i in range(200)] * 2)
+    total = 200 * 196 / 5
+    sets = simhash_dedup.shingle_sets
+    met = sets._meetings(docs.withColumn("text", F.concat("text", F.lit(" end"), F.col("doc_id") % 2)).union(docs), 400, total, 5, 8, total / 8, 10**6)
+    rows = [r.n for r in met.filter("kind = 1").groupBy(F.expr("token >> 32").alias("bucket")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(rows) == 8 and max(rows) < 2 * min(rows)
+
+
 def test_sets_that_stars_leave_apart_are_linked_by_similarity(spark, make_docs):
     rng = random.Random(12)
     words = [f"w{i}" for i in range(90)]
