@@ -41,6 +41,18 @@ def test_comma_join_becomes_an_equi_join(ws):
     assert "Cartesian" not in p and "NestedLoop" not in p
 
 
+@pytest.mark.parametrize("condition", ["p_partkey NOT IN ({})", "NOT p_partkey IN ({})", "NOT (p_size = 3 OR p_partkey IN ({}))", "p_size = 3 OR p_partkey NOT IN ({})"])
+def test_not_in_shuffles(spark, ws, condition):
+    """Nothing but the tests for NULLs and for no rows reaches the driver, each of a row at most."""
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = plan(ws.sql(f"SELECT p_partkey FROM part WHERE {condition.format('SELECT l_partkey FROM lineitem WHERE l_quantity > 10')}"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "Broadcast" not in p and "SortMergeJoin" in p
+
+
 def test_no_python_in_scalar_functions(ws):
     p = plan(ws.sql("SELECT substr(c_name, -4, 2), printf('%d', c_custkey), quote(c_name), c_name GLOB 'C*' FROM customer"))
     assert "Python" not in p and "Arrow" not in p

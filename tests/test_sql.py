@@ -123,6 +123,23 @@ def test_sets_and_subqueries(ws):
     assert sorted(rows(ws, "SELECT id FROM dates WHERE d > '1996-07-15' AND d < '1996-12-01'")) == [(3,)]
 
 
+def test_not_in_subqueries(ws):
+    """Three-valued: NULL beside NULLs unless found, true beside no rows."""
+    assert sorted(rows(ws, "SELECT id, key NOT IN (SELECT id FROM users WHERE id < 3) FROM k")) == [(1, 0), (2, None), (3, 1)]
+    assert sorted(rows(ws, "SELECT id, id NOT IN (SELECT key FROM m) FROM k")) == [(1, 0), (2, None), (3, None)]
+    assert sorted(rows(ws, "SELECT id, key NOT IN (SELECT key FROM m WHERE id > 9) FROM k")) == [(1, 1), (2, 1), (3, 1)]
+    assert rows(ws, "SELECT id FROM k WHERE id NOT IN (SELECT key FROM m)") == []
+    assert sorted(rows(ws, "SELECT id FROM k WHERE id NOT IN (SELECT key FROM m WHERE key NOT NULL)")) == [(2,), (3,)]
+    assert sorted(rows(ws, "SELECT id FROM k WHERE key NOT IN (SELECT key FROM m WHERE id > 9)")) == [(1,), (2,), (3,)]
+    assert rows(ws, "SELECT id FROM k WHERE key NOT IN (SELECT id FROM users WHERE id < 3)") == [(3,)]
+    assert sorted(rows(ws, "SELECT id FROM k WHERE id NOT IN (SELECT key FROM m WHERE m.id = k.id)")) == [(3,)]
+    assert rows(ws, "SELECT id FROM k WHERE NOT (id = 3 OR id IN (SELECT id FROM m WHERE id < 2))") == [(2,)]
+    assert rows(ws, "SELECT id FROM k WHERE NOT (id NOT IN (SELECT key FROM m))") == [(1,)]
+    assert rows(ws, "SELECT dept FROM emp GROUP BY dept HAVING count(*) NOT IN (SELECT key FROM k WHERE key NOT NULL)") == []
+    assert sorted(rows(ws, "SELECT dept FROM emp GROUP BY dept HAVING count(*) NOT IN (SELECT id FROM users WHERE id > 1)")) == [("hr",)]
+    assert rows(ws, "SELECT id FROM k WHERE id NOT IN (SELECT id FROM users ORDER BY id LIMIT 2)") == [(3,)]
+
+
 def test_windows(ws):
     got = rows(ws, "SELECT id, row_number() OVER (PARTITION BY dept ORDER BY salary) r, sum(salary) OVER (PARTITION BY dept ORDER BY id ROWS UNBOUNDED PRECEDING) s, lag(id) OVER w l FROM emp WINDOW w AS (ORDER BY id) ORDER BY id")
     assert [g[1:] for g in got] == [(2, 100, None), (3, 220, 1), (1, 310, 2), (1, 80, 3), (2, 165, 4), (3, 315, 5), (1, 70, 6)]
