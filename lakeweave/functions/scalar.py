@@ -178,7 +178,8 @@ def _hex(x):
 
 
 def _unicode(x):
-    return f"CAST(nullif(ascii({text(x)}), 0) AS BIGINT)", "int"
+    """The first code point, which may be 0; NULL for an empty text."""
+    return f"CASE WHEN octet_length({text(x)}) > 0 THEN CAST(ascii({text(x)}) AS BIGINT) END", "int"
 
 
 def _char(*xs):

@@ -48,3 +48,13 @@ def test_query(spark, duck, name):
     assert sorted(names) == columns
     at = [names.index(c) for c in columns]
     assert got == sorted(tuple(plain(r[i]) for i in at) for r in found.fetchall())
+
+
+def test_unicode_of_odd_texts(spark, tmp_path):
+    texts = ["", "\0", "\0a", None, " ", "\n", "\x7f", "\x80", "e\u0301", "\ufeffx", "\uffff", "\U0001f600x", "\U0010ffff"]
+    c = duckdb.connect()
+    c.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, lang VARCHAR, source VARCHAR)")
+    c.executemany("INSERT INTO documents VALUES (?, ?, 'en', 'src1')", list(enumerate(texts)))
+    c.execute(f"COPY documents TO '{tmp_path}/documents.parquet' (FORMAT parquet)")
+    got = sorted(tuple(r) for r in QUERIES["fn_unicode"](spark, str(tmp_path)).select("id", "f").collect())
+    assert got == sorted(c.execute(ORACLES["fn_unicode"]).fetchall())

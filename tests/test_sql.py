@@ -57,6 +57,10 @@ def test_expressions(ws, start):
         assert value == expected and type(value) is type(expected), text
 
 
+def test_unicode_of_the_first_code_point(ws):
+    assert rows(ws, "SELECT unicode(char(0)), unicode(char(0, 65)), unicode(NULL), unicode(''), unicode(char(1114111))") == [(0, 0, None, None, 0x10FFFF)]
+
+
 @pytest.mark.parametrize("text", ["5 / 0", "5 % 0", "CAST('abc' AS INTEGER)", "9223372036854775807 + 1"])
 def test_run_time_errors(ws, text):
     with pytest.raises(Exception):
